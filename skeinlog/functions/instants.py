@@ -17,6 +17,8 @@ ISO_DATE = r"\A\d{4}-\d{2}-\d{2}\z"
 # A text line that leads with a time: comma or dot before the fraction, which is required.
 LEADING_TIME = rf"\A(\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}[.,]\d+(?:Z|[+-]\d{{2}}:?\d{{2}})?)"
 _HAS_ZONE = rf"{ZONE}\z"
+# The usual form, which needs no rewriting before it is read.
+_USUAL = r"\A\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
 
 # Strptime directive -> (letter, width) of the Java date pattern.
 STRPTIME_LETTERS = {
@@ -47,7 +49,9 @@ def _zoned(text: Column) -> Column:
 def iso_instant(text: Column) -> Column:
     """A full ISO date-time as TIMESTAMP, anything else NULL."""
     dotted = _dotted(text)
-    return F.when(dotted.rlike(ISO_FULL), F.try_to_timestamp(_zoned(dotted)))
+    return F.when(text.rlike(_USUAL), F.try_to_timestamp(text)).when(
+        dotted.rlike(ISO_FULL), F.try_to_timestamp(_zoned(dotted))
+    )
 
 
 def iso_time(text: Column) -> Column:
@@ -55,7 +59,8 @@ def iso_time(text: Column) -> Column:
     dotted = _dotted(text)
     minute = F.regexp_replace(dotted, r"\A(.{16})", "$1:00")
     return (
-        F.when(dotted.rlike(ISO_FULL), F.try_to_timestamp(_zoned(dotted)))
+        F.when(text.rlike(_USUAL), F.try_to_timestamp(text))
+        .when(dotted.rlike(ISO_FULL), F.try_to_timestamp(_zoned(dotted)))
         .when(dotted.rlike(ISO_DATE), F.try_to_timestamp(F.concat(dotted, F.lit("T00:00:00Z"))))
         .when(dotted.rlike(ISO_MINUTE), F.try_to_timestamp(_zoned(minute)))
     )

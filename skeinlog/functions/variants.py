@@ -7,11 +7,10 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Stands behind the record while it is parsed; its absence shows text after the JSON value.
-_SENTINEL = "~skein-end-7f3a~"
-
 MAX_PATH_SEGMENTS = 6
 
+_LAST_KEY = "~skein-end-7f3a~"
+
 
 def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is computed once per row. Catalyst repeats a projected expression in
@@ -20,18 +19,21 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _one_object(text: Column) -> Column:
+    """Whether a text is one JSON object with nothing behind it; the parser itself ignores what
+    follows the first value. A text with a single closing brace, at its end, needs no second
+    look. Otherwise the text, set in front of a last key, must leave that key where it is."""
+    framed = F.concat(F.lit('{"line":'), text, F.lit(f',"{_LAST_KEY}":0}}'))
+    return text.rlike(r"\A\s*\{") & (
+        text.rlike(r"\A[^}]*\}\s*\z")
+        | (F.json_object_keys(framed) == F.array(F.lit("line"), F.lit(_LAST_KEY)))
+    )
+
+
 def parse_objects(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add VARIANT column ``name``: the JSON object in column ``text``, or NULL when the text is
-    not exactly one JSON object. ``try_parse_json`` alone ignores text after the first value."""
-    wrapped = F.concat(F.lit("["), F.col(text), F.lit(f',"{_SENTINEL}"]'))
-    df = bind(df, "_doc", F.try_parse_json(wrapped))
-    whole = (
-        F.ltrim(F.col(text), F.lit(" \t\r\n")).startswith("{")
-        & (F.try_variant_get("_doc", "$[1]", "string") == _SENTINEL)
-        & F.try_variant_get("_doc", "$[2]", "variant").isNull()
-    )
-    body = F.when(whole, F.try_variant_get("_doc", "$[0]", "variant"))
-    return bind(df, name, body).drop("_doc")
+    not exactly one JSON object."""
+    return bind(df, name, F.when(_one_object(F.col(text)), F.try_parse_json(text)))
 
 
 def json_path(keys: list[str]) -> str:

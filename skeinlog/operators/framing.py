@@ -37,7 +37,7 @@ def frame_plain(lines: DataFrame) -> DataFrame:
 def frame_json(lines: DataFrame) -> DataFrame:
     """One record per non-blank line with VARIANT column ``body``; a line that is not one JSON
     object keeps its text and has a NULL body."""
-    filled = F.length(F.btrim("value", F.lit(" \t\r\n\f\x0b"))) > 0
+    filled = F.col("value").rlike(r"\S")
     return parse_objects(lines.where(filled).select(*RECORD_COLUMNS), "value", "body")
 
 
