@@ -61,7 +61,7 @@ class _Follower(DataSourceStreamReader):
 
     def _sizes(self) -> dict[str, int]:
         """Size of every followed file, by its path below the root."""
-        store, base = _store(self.root)
+        store, base = store_of(self.root)
         found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
         sizes = {}
         for info in found:
@@ -74,7 +74,7 @@ class _Follower(DataSourceStreamReader):
 
     def _identity(self, name: str) -> str:
         """The inode where the file system has one: it tells a rotated file from a grown one."""
-        store, base = _store(self.root)
+        store, base = store_of(self.root)
         if isinstance(store, fs.LocalFileSystem):
             import os
 
@@ -124,7 +124,7 @@ class _Follower(DataSourceStreamReader):
         return _read_lines(partition)
 
 
-def _store(uri: str) -> tuple[fs.FileSystem, str]:
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         uri = "file://" + uri
     if uri.startswith("file:/") and not uri.startswith("file://"):
@@ -162,7 +162,7 @@ def _line_start(file, at: int) -> int:
 def _read_lines(part: _Range) -> Iterator[pa.RecordBatch]:
     """Lines whose end lies in ``[start, end)``; ``mid`` is the byte a line starts at. ``blk`` is
     the start of the range, so the order columns work as in a batch scan."""
-    store, path = _store(part.file)
+    store, path = store_of(part.file)
     try:
         file = store.open_input_file(path)
     except FileNotFoundError:
