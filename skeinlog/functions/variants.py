@@ -21,11 +21,11 @@ def bind(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def _one_object(text: Column) -> Column:
     """Whether a text is one JSON object with nothing behind it; the parser itself ignores what
-    follows the first value. A text with a single closing brace, at its end, needs no second
-    look. Otherwise the text, set in front of a last key, must leave that key where it is."""
+    follows the first value. A text whose first closing brace is its last character needs no
+    second look. Otherwise the text, set in front of a last key, must leave that key in place."""
     framed = F.concat(F.lit('{"line":'), text, F.lit(f',"{_LAST_KEY}":0}}'))
     return text.rlike(r"\A\s*\{") & (
-        text.rlike(r"\A[^}]*\}\s*\z")
+        (F.instr(text, "}") >= F.length(F.rtrim(text)))
         | (F.json_object_keys(framed) == F.array(F.lit("line"), F.lit(_LAST_KEY)))
     )
 

@@ -16,16 +16,22 @@ from skeinlog.operators.predicates import RESERVED
 # Fixed value: how many example values a field shows.
 EXAMPLES = 3
 
-MAX_DEPTH = 12
+MAX_DEPTH = 64
 
-
-def _variant(text: Column) -> Column:
-    return text.cast("variant")
+_LEAVES = "array<struct<field:string,v:variant,kind:string>>"
 
 
 def _leaf(field, value: Column) -> Column:
     name = F.lit(field) if isinstance(field, str) else field
-    return F.struct(name.alias("field"), value.alias("v"))
+    return F.struct(
+        name.alias("field"), value.alias("v"), F.schema_of_variant(value).alias("kind")
+    )
+
+
+def _text_leaf(field, text: Column) -> Column:
+    name = F.lit(field) if isinstance(field, str) else field
+    kind = F.when(text.isNull(), "VOID").otherwise("STRING")
+    return F.struct(name.alias("field"), text.cast("variant").alias("v"), kind.alias("kind"))
 
 
 def _envelope_leaves() -> Column:
@@ -40,57 +46,71 @@ def _envelope_leaves() -> Column:
         "log.file.path": F.col("log.file.path"),
         "ecs.version": F.col("ecs.version"),
     }
-    fixed = F.array(*[_leaf(name, _variant(text)) for name, text in texts.items()])
     labels = F.transform(
         F.map_entries("labels"),
-        lambda e: _leaf(F.concat(F.lit("labels."), e["key"]), _variant(e["value"])),
+        lambda e: _text_leaf(F.concat(F.lit("labels."), e["key"]), e["value"]),
     )
-    tags = F.transform(F.col("tags"), lambda t: _leaf("tags", _variant(t)))
+    tags = F.transform(F.col("tags"), lambda tag: _text_leaf("tags", tag))
+    fixed = F.array(*[_text_leaf(name, text) for name, text in texts.items()])
     return F.concat(fixed, labels, F.coalesce(tags, F.array().cast(_LEAVES)))
 
 
-_LEAVES = "array<struct<field:string,v:variant>>"
+def _is_object(leaf: Column) -> Column:
+    return leaf["kind"].startswith("OBJECT")
+
 
+def _is_list(leaf: Column) -> Column:
+    return leaf["kind"].startswith("ARRAY")
 
-def _open_containers(leaves: Column) -> Column:
-    """One step down: objects become their members, lists their elements under the same name."""
 
-    def members(leaf: Column) -> Column:
-        return F.transform(
+def _one_down(leaves: Column) -> Column:
+    """Objects become their members, lists their elements under the same name."""
+
+    def opened(leaf: Column) -> Column:
+        members = F.transform(
             F.map_entries(as_object(leaf["v"])),
             lambda e: _leaf(F.concat(leaf["field"], F.lit("."), e["key"]), e["value"]),
         )
+        elements = F.transform(as_array(leaf["v"]), lambda v: _leaf(leaf["field"], v))
+        return F.when(_is_object(leaf), members).when(_is_list(leaf), elements).otherwise(F.array(leaf))
 
-    def elements(leaf: Column) -> Column:
-        return F.transform(as_array(leaf["v"]), lambda v: _leaf(leaf["field"], v))
-
-    return F.flatten(
-        F.transform(leaves, lambda x: F.coalesce(members(x), elements(x), F.array(x)))
-    )
+    return F.flatten(F.transform(leaves, opened))
 
 
 def body_leaves(body: Column, max_depth: int, reserved: tuple[str, ...] = RESERVED) -> Column:
+    """The leaves of a body. The steps down are one loop inside the expression, which does
+    nothing more once no object or list is left."""
+
+    def state(leaves: Column) -> Column:
+        more = F.exists(leaves, lambda x: _is_object(x) | _is_list(x))
+        return F.struct(leaves.alias("leaves"), more.alias("more"))
+
     top = F.transform(
         F.map_entries(F.map_filter(as_object(body), lambda k, _: ~k.isin(*reserved, ""))),
         lambda e: _leaf(e["key"], e["value"]),
+    ).cast(_LEAVES)
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_depth)),
+        F.struct(top.alias("leaves"), F.lit(True).alias("more")),
+        lambda acc, _: F.when(
+            acc["more"], state(_one_down(acc["leaves"]).cast(_LEAVES))
+        ).otherwise(acc),
+        lambda acc: acc["leaves"],
     )
-    for _ in range(max_depth - 1):
-        top = _open_containers(top)
-    return top
 
 
-def family(value: Column) -> Column:
+def family(value: Column, kind: Column) -> Column:
     """The type family of a leaf value, as field capabilities name it. A value that still is an
     object or a list lies deeper than the flattening went, which must not pass unseen."""
-    kind = F.schema_of_variant(value)
     text = F.try_variant_get(value, "$", "string")
     too_deep = F.raise_error("a record is nested deeper than max_depth; raise max_depth")
     return (
-        F.when(kind == "BOOLEAN", "boolean")
+        F.when((kind == "STRING") & text.rlike(rf"\A{SECONDS_SHAPE}"), "date")
+        .when(kind == "STRING", "keyword")
+        .when(kind == "BOOLEAN", "boolean")
         .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "long")
         .when(kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT)"), "double")
         .when(kind.rlike("^(?:OBJECT|ARRAY)"), too_deep)
-        .when((kind == "STRING") & text.rlike(rf"\A{SECONDS_SHAPE}"), "date")
         .otherwise("keyword")
     )
 
@@ -99,29 +119,33 @@ def leaves(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """One row per leaf value: ``dataset, host, field, family, json, first`` where ``first`` marks
     the first value of a field in its event. Nulls are left out, as ``exists`` does. One pass over
     the events, no shuffle."""
-    none = F.array().cast(_LEAVES)
     everything = F.concat(
-        _envelope_leaves(), F.coalesce(body_leaves(F.col("body"), max_depth), none)
+        _envelope_leaves(),
+        F.coalesce(body_leaves(F.col("body"), max_depth), F.array().cast(_LEAVES)),
     )
-    real = F.filter(everything, lambda x: x["v"].isNotNull() & ~F.is_variant_null(x["v"]))
     narrow = bind(
         events.select(
             "*", F.col("event.dataset").alias("dataset"), F.col("host.name").alias("_host")
         ),
         "_leaves",
-        real,
+        F.filter(everything, lambda x: x["kind"] != "VOID"),
     )
     numbered = F.transform(
         F.col("_leaves"),
         lambda x, i: F.struct(
             x["field"].alias("field"),
             x["v"].alias("v"),
+            x["kind"].alias("kind"),
             (F.array_position(F.col("_leaves.field"), x["field"]) == i + 1).alias("first"),
         ),
     )
     return narrow.select("dataset", F.col("_host").alias("host"), F.inline(numbered)).select(
-        "dataset", "host", "field", family(F.col("v")).alias("family"),
-        F.to_json("v").alias("json"), "first",
+        "dataset",
+        "host",
+        "field",
+        family(F.col("v"), F.col("kind")).alias("family"),
+        F.to_json("v").alias("json"),
+        "first",
     )
 
 

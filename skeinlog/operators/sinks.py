@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions.instants import iso_text
-from skeinlog.functions.variants import as_object
+from skeinlog.functions.variants import as_object, bind, json_path
 from skeinlog.operators.predicates import RESERVED
 
 
-def ndjson_column() -> Column:
-    """One event as compact JSON: the envelope, then the body's keys at top level. NULL columns
-    are left out; nulls inside the body stay."""
-    envelope = F.to_json(
+def _envelope_json() -> Column:
+    return F.to_json(
         F.struct(
             iso_text(F.col("`@timestamp`")).alias("@timestamp"),
             "message",
@@ -29,15 +29,25 @@ def ndjson_column() -> Column:
             "tags",
         )
     )
-    own = F.to_json(F.map_filter(as_object(F.col("body")), lambda k, _: ~k.isin(*RESERVED)))
-    opened = F.substr(envelope, F.lit(1), F.length(envelope) - 1)
-    return F.when(
-        F.length(own) > 2, F.concat(opened, F.lit(","), F.substr(own, F.lit(2)))
-    ).otherwise(envelope)
+
+
+def _body_json() -> Column:
+    """The body without reserved keys; only a body that has one is taken apart for that."""
+    body = F.col("body")
+    taken = [F.try_variant_get(body, json_path([key]), "variant").isNotNull() for key in RESERVED]
+    free = F.map_filter(as_object(body), lambda k, _: ~k.isin(*RESERVED))
+    return F.when(reduce(Column.__or__, taken), F.to_json(free)).otherwise(F.to_json(body))
 
 
 def to_ndjson(events: DataFrame) -> DataFrame:
-    return events.select(ndjson_column().alias("value"))
+    """Column ``value``: one event as compact JSON, the envelope first, then the body's keys at top
+    level. NULL columns are left out; nulls inside the body stay."""
+    parts = bind(bind(events, "_envelope", _envelope_json()), "_own", _body_json())
+    opened = F.substr("_envelope", F.lit(1), F.length("_envelope") - 1)
+    joined = F.concat(opened, F.lit(","), F.substr("_own", F.lit(2)))
+    return parts.select(
+        F.when(F.length("_own") > 2, joined).otherwise(F.col("_envelope")).alias("value")
+    )
 
 
 def write_ndjson(events: DataFrame, path: str) -> None:

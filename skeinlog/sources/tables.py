@@ -8,11 +8,19 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinlog.functions.variants import bind
 from skeinlog.sources.lines import table_lines
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Parsing costs far more than reading. A table that comes in fewer splits than there are
+    cores, such as one small file with one row group, is spread; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def utc_text(ts: Column) -> Column:
@@ -30,13 +38,14 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def as_lines(rows: DataFrame, line: Column, order: str) -> DataFrame:
-    """A lines table from rows with host and path."""
-    return rows.select(
+    """A lines table from rows with host and path. The line is made once, like one read from a
+    file, and not again in every expression that reads it."""
+    return bind(rows, "_line", line).select(
         "host",
         "path",
         F.lit(0).cast("long").alias("blk"),
         F.col(order).cast("long").alias("mid"),
-        line.alias("value"),
+        F.col("_line").alias("value"),
         F.lit(True).alias("whole"),
     )
 
