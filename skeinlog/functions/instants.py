@@ -105,8 +105,9 @@ def java_date_pattern(fmt: str) -> tuple[str, bool]:
         at += 2
         if name in STRPTIME_LETTERS:
             letter, width = STRPTIME_LETTERS[name]
-            # Directly followed digits need a fixed width; otherwise one digit is accepted too.
-            out.append(letter * (width if fmt[at : at + 1] == "%" else 1))
+            # Digits directly beside digits need a fixed width; otherwise one digit will do too.
+            beside = fmt[at : at + 1] == "%" or (at > 3 and fmt[at - 4] == "%")
+            out.append(letter * (width if beside else 1))
         elif name in STRPTIME_WORDS:
             out.append(STRPTIME_WORDS[name])
         elif name == "z":

@@ -203,7 +203,7 @@ def _input(spec: Any, where: str) -> LogInput:
 def _label_filter(spec: Any, where: str) -> LabelFilter:
     if not isinstance(spec, dict):
         raise ProfileError(f"{where}: a mapping is needed")
-    grok = spec.get("grok") or {}
+    grok = {} if spec.get("grok") is None else spec["grok"]
     if not isinstance(grok, dict) or not all(isinstance(p, str) for p in grok.values()):
         raise ProfileError(f"{where}: grok maps a source to a pattern")
     made = LabelFilter(tuple(grok.items()), spec.get("if"))

@@ -148,14 +148,15 @@ def search(
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Events that only one of two results has, as JSON text with the side. Empty means that a
-    pre-filter changed nothing."""
-    a, b = to_ndjson(left), to_ndjson(right)
-    return (
-        a.exceptAll(b)
-        .select("value", F.lit("left").alias("side"))
-        .unionByName(b.exceptAll(a).select("value", F.lit("right").alias("side")))
+    """Events that only one of two results has, as JSON text with the side and how often. Empty
+    means that a pre-filter changed nothing. Each side is read once, and equal events cancel out
+    before the shuffle where they meet in one task."""
+    both = to_ndjson(left).withColumn("_n", F.lit(1)).unionByName(
+        to_ndjson(right).withColumn("_n", F.lit(-1))
     )
+    surplus = both.groupBy("value").agg(F.sum("_n").alias("n")).where("n <> 0")
+    side = F.when(F.col("n") > 0, "left").otherwise("right").alias("side")
+    return surplus.select("value", side, F.abs("n").alias("n"))
 
 
 def audit_prefilter(
@@ -163,8 +164,9 @@ def audit_prefilter(
 ) -> DataFrame:
     """The differences between a search with and without pre-filters."""
     collected = collected or datetime.now(timezone.utc)
+    query = compile_query(filter_)
     runs = [
-        search(spark, root, profile, filter_, prefilter=p, collected=collected).events
-        for p in (True, False)
+        read_events(spark, root, profile, collected, query, on).where(query.column(EventFields()))
+        for on in (True, False)
     ]
     return differences(*runs)
