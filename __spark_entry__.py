@@ -607,16 +607,15 @@ def demux_capture(spark, sf_dir):
 )
 def window_text_lines(spark, sf_dir):
     """Lines 2, 7, 12, … of a document lead with a time; the decision carries to those behind."""
-    lines = tables.document_lines(spark, sf_dir)
+    lines = tables.document_lines(spark, sf_dir, 4)
     seconds = F.unix_timestamp(F.lit("2026-01-01 00:00:00")) + tables.doc_id() * 60 + F.col("mid")
     time = F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss,SSS'Z '")
     stamped = lines.withColumn(
         "value", F.when(F.col("mid") % 5 == 2, F.concat(time, "value")).otherwise(F.col("value"))
     )
     kept = lines_in_window(stamped, Window("2026-01-01T01:00:00", "2026-01-01T10:00:00"))
-    at = F.col("mid") + F.col("at")
-    text = F.when(at % 5 == 2, F.substr("value", F.lit(26))).otherwise(F.col("value"))
-    return kept.select(tables.doc_id().alias("doc_id"), at.alias("mid"), text.alias("value"))
+    text = F.when(F.col("mid") % 5 == 2, F.substr("value", F.lit(26))).otherwise(F.col("value"))
+    return kept.select(tables.doc_id().alias("doc_id"), "mid", text.alias("value"))
 
 
 # ---------------------------------------------------------------- enrichment

@@ -6,9 +6,11 @@ of every header but the first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinlog.operators.carry import CHUNK, carry_forward
+
 _HEADER = r"(?d)\A==> (.*) <==\z"
 
 
@@ -17,46 +19,12 @@ def demux(captures: DataFrame, known: list[str]) -> DataFrame:
 
     Only a header of a ``known`` file switches; a log line that merely looks like one is content.
     Lines before any header belong to the first known file. The column ``file`` names the file.
-    Work is split by ``(host, path, blk)``; what crosses a split is one header and one flag, so a
-    long capture is never in one task.
+    The work is split as in :func:`carry_forward`.
     """
-    chunk = ["host", "path", "blk"]
     named = F.regexp_extract("value", _HEADER, 1)
-    lines = captures.select(
-        *chunk, "mid", "value",
-        F.when(F.col("value").rlike(_HEADER) & named.isin(*known), named).alias("_header"),
-    )
-    in_chunk = Window.partitionBy(*chunk).orderBy("mid")
-    local = lines.select(
-        "*",
-        F.last("_header", ignorenulls=True).over(in_chunk).alias("_current"),
-        F.lead(F.col("_header").isNotNull()).over(in_chunk).alias("_next_header"),
-    )
-
-    in_capture = Window.partitionBy("host", "path").orderBy("blk")
-    headers = lines.where("_header is not null")
-    last_header = headers.groupBy(*chunk).agg(F.max(F.struct("mid", "_header")).alias("_last"))
-    edges = (
-        lines.groupBy(*chunk)
-        .agg(F.min("mid").alias("_first"), F.min(F.when(F.col("_header").isNotNull(), F.col("mid"))).alias("_at"))
-        .join(last_header, chunk, "left")
-        .select(
-            *chunk,
-            F.last("_last._header", ignorenulls=True)
-            .over(in_capture.rowsBetween(Window.unboundedPreceding, -1))
-            .alias("_carried"),
-            F.lead(F.coalesce(F.col("_first") == F.col("_at"), F.lit(False)))
-            .over(in_capture)
-            .alias("_next_chunk_header"),
-        )
-    )
-    separator = (F.col("value") == "") & F.coalesce(
-        "_next_header", "_next_chunk_header", F.lit(False)
-    )
-    return (
-        local.join(edges, chunk)
-        .where(F.col("_header").isNull() & ~separator)
-        .select(
-            *chunk, "mid", F.coalesce("_current", "_carried", F.lit(known[0])).alias("file"), "value"
-        )
+    header = F.when(F.col("value").rlike(_HEADER) & named.isin(*known), named)
+    lines = carry_forward(captures.select(*CHUNK, "mid", "value"), header)
+    separator = (F.col("value") == "") & F.col("_next_marked")
+    return lines.where(F.col("_mark").isNull() & ~separator).select(
+        *CHUNK, "mid", F.coalesce("_current", F.lit(known[0])).alias("file"), "value"
     )
