@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import skeinlog
+
 # Settings that decide results, not speed.
 RESULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,7 +28,9 @@ SCALE_CONF = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that already exists."""
+    """Apply the runtime settings to a session that already exists. The Python steps of this
+    package travel with the job, so executors need no installed copy."""
+    cloudpickle.register_pickle_by_value(skeinlog)
     for key, value in {**RESULT_CONF, **SCALE_CONF}.items():
         spark.conf.set(key, value)
     return spark

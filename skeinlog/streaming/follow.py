@@ -129,7 +129,7 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
         uri = "file://" + uri
     if uri.startswith("file:/") and not uri.startswith("file://"):
         uri = "file://" + uri[len("file:") :]
-    store, base = fs.FileSystem.from_uri(uri)
+    store, base = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
     return store, base.rstrip("/")
 
 
