@@ -5,6 +5,7 @@ Every query runs one operator of the library over whole given tables, read as lo
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
@@ -1116,6 +1117,28 @@ def stream_multiline(spark, sf_dir):
     return closed.unionByName(still_open).groupBy("value").agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- training-data operators
+
+
+def _add_llm() -> None:
+    """The queries of the llm folder and of the pipeline, where they are there at all."""
+    if importlib.util.find_spec("skeinlog.llm") is None:
+        return
+    from skeinlog.llm import queries as llm
+
+    found = dict(llm.QUERIES)
+    if importlib.util.find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+    for name, function in found.items():
+        _QUERIES[name] = lambda spark, sf_dir, f=function: f(prepare(spark), sf_dir)
+    _SQL.update(llm.ORACLE_SQL)
+
+
+_add_llm()
+
+
 # ---------------------------------------------------------------- driver contract
 
 

@@ -1,6 +1,7 @@
 """Some registered queries beside their SQL on the smallest tables (all: check_queries.py)."""
 
 import os
+import re
 
 import pytest
 
@@ -29,5 +30,6 @@ def test_query_equals_its_sql(spark, db, name):
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    own = {n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert own <= set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["event_id", "host_name", "event_time"]
