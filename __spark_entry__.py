@@ -5,7 +5,6 @@ Every query runs one operator of the library over whole given tables, read as lo
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import reduce
@@ -1122,15 +1121,20 @@ def stream_multiline(spark, sf_dir):
 
 def _add_llm() -> None:
     """The queries of the llm folder and of the pipeline, where they are there at all."""
-    if importlib.util.find_spec("skeinlog.llm") is None:
+    try:
+        from skeinlog.llm import queries as llm
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith("skeinlog.llm"):
+            raise
         return
-    from skeinlog.llm import queries as llm
-
     found = dict(llm.QUERIES)
-    if importlib.util.find_spec("corpus_pipeline") is not None:
+    try:
         import corpus_pipeline
 
         found["pipeline"] = corpus_pipeline.run
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
     for name, function in found.items():
         _QUERIES[name] = lambda spark, sf_dir, f=function: f(prepare(spark), sf_dir)
     _SQL.update(llm.ORACLE_SQL)
