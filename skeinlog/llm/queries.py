@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinlog.llm import fingerprints, neardup
+from skeinlog.llm import fingerprints, langid, linededup, neardup
 from skeinlog.llm.common import table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,34 @@ def op1_winnowing(spark, sf_dir):
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, "
+    "generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents), "
+    f"keyed as (select *, {_LOWER.format(f'trim(line, {_SPACES})')} as key from lines), "
+    "frequent as (select key, max(doc_id) as keeper from keyed where length(key) >= 20 "
+    "group by key having count(distinct doc_id) >= 3), "
+    "marked as (select k.*, f.key is not null and k.doc_id <> f.keeper as gone from keyed k left join frequent f using (key)) "
+    "select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, "
+    "sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256 "
+    "from marked group by doc_id"
+)
+def op5_sorted_runs(spark, sf_dir):
+    kept = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
+@query()
+def op7_cross_parsing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.crc32_fold(F.col("doc_id")) == 0
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rate")
+
+
 @query(
     "with recursive words as (select doc_id, regexp_extract_all("
     + _LOWER.format("coalesce(text, '')")
