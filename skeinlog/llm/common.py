@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -45,7 +48,9 @@ def save(df: DataFrame, folder: str, name: str) -> DataFrame:
 def arrow_step(
     df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType
 ) -> DataFrame:
-    """mapInArrow for a step that yields one dict of columns per batch."""
+    """mapInArrow for a step that yields one dict of columns per batch. Batches are cut by bytes,
+    so that a worker holds a few MB of long texts and their results at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(schema)
