@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinlog.functions.instants import iso_text
 from skeinlog.functions.variants import as_object, bind, json_path
@@ -71,7 +72,11 @@ def write_event_table(events: DataFrame, path: str, mode: str = "append") -> Non
 
 def read_event_table(spark: SparkSession, path: str) -> DataFrame:
     """The stored events, with the dataset and host of the envelope taken from the directories."""
-    stored = spark.read.option("mergeSchema", "false").parquet(path)
+    reader = spark.read.option("mergeSchema", "false")
+    fields = reader.parquet(path).schema.fields
+    # As text: a name such as 042 or 2024-01-01 would else become a number or a date.
+    named = [T.StructField(f.name, T.StringType()) if f.name in ("dataset", "host_name") else f for f in fields]
+    stored = spark.read.schema(T.StructType(named)).parquet(path)
     stored = stored.withColumns(
         {
             "event": F.struct(
