@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import fingerprints, langid, linededup, neardup
+from skeinlog.llm import fingerprints, knn, langid, linededup, neardup, shards
 from skeinlog.llm.common import table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,25 @@ def op7_cross_parsing(spark, sf_dir):
 )
 def op10_minhash_coordinates(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as double)) as v from embeddings "
+    "where vec_id is not null and embedding is not null "
+    "and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0), "
+    "scored as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score "
+    "from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0), "
+    "ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) "
+    "select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5"
+)
+def op3_voronoi_join(spark, sf_dir):
+    return knn.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+@query()
+def op9_sampled_splitters(spark, sf_dir):
+    found = shards.shard(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
