@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import fingerprints, knn, langid, linededup, neardup, shards
-from skeinlog.llm.common import table
+from skeinlog.llm import fingerprints, knn, langid, linededup, neardup, quality, shards, wordpieces
+from skeinlog.llm.common import crc32_fold, table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFunction] = {}
@@ -56,7 +56,7 @@ def op5_sorted_runs(spark, sf_dir):
 @query()
 def op7_cross_parsing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    held_out = langid.crc32_fold(F.col("doc_id")) == 0
+    held_out = crc32_fold(F.col("doc_id")) == 0
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rate")
 
@@ -104,3 +104,18 @@ def op9_sampled_splitters(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query()
+def op4_quadratic_discriminant(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(quality.labelled(docs, table(spark, sf_dir, "labels")))
+    held_out = crc32_fold(F.col("doc_id")) == 0
+    return quality.rate(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op6_longest_match(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = wordpieces.count_tokens(docs, wordpieces.read_vocabulary())
+    return counted.select("doc_id", "n_words", "n_tokens", "n_unknown")
