@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import fingerprints, knn, langid, linededup, neardup, quality, shards, wordpieces
+from skeinlog.llm import fingerprints, knn, langid, linededup, mixing, neardup, quality, shards, unigram, wordpieces
 from skeinlog.llm.common import crc32_fold, table
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,25 @@ def op6_longest_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = wordpieces.count_tokens(docs, wordpieces.read_vocabulary())
     return counted.select("doc_id", "n_words", "n_tokens", "n_unknown")
+
+
+@query()
+def op2_temperature_mixing(spark, sf_dir):
+    found = mixing.plan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "rows", "n_tokens", "epoch", "block", "position")
+
+
+@query()
+def op8_unigram_viterbi(spark, sf_dir):
+    """The round trip of every text: its pieces and what they decode to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = unigram.Unigram(*unigram.read_model())
+    found = unigram.decode(unigram.encode(docs, model), model)
+    own = F.coalesce("text", F.lit(""))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == own).alias("round_trip"),
+    )
