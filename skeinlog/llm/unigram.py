@@ -14,7 +14,7 @@ words, which a task remembers (up to ``REMEMBERED`` of them; then it begins anew
 A model made by merges has ranks for scores; the log score of rank r is then -ln((r + 1) * sum(1/i)),
 as in Zipf's law. Models with log scores are used as they are.
 
-Defined results: null and empty texts have no pieces; null decodes to null. Columns named like a
+Defined results: null and empty texts have no pieces and decode to an empty text. Columns named like a
 result are replaced. Among equally good paths the one found first from the left stays.
 """
 
