@@ -1,6 +1,8 @@
-"""The corpus pipeline: stages that each take (spark, docs, sf_dir) and return documents.
+"""The corpus pipeline: stages that each take (spark, docs, sf_dir) and return documents, the last one
+their pieces.
 
-Not whole yet: mixing of sources and the SentencePiece stage, which come after these, are missing.
+Defined results: an empty table passes every stage; rows without doc_id are neither line-deduplicated
+nor anyone's near copy and stay; a null source is a source of its own.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm import langid, linededup, neardup
+from skeinlog.llm import langid, linededup, mixing, neardup, unigram
 from skeinlog.llm.common import save, scratch, table
 
 
@@ -32,7 +34,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Small sources are repeated, twice at most; every document stays at least once."""
+    return mixing.mix(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, and whether they decode to its text."""
+    model = unigram.Unigram(*unigram.read_model())
+    found = unigram.decode(unigram.encode(docs, model), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return found.select(
+        "doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip")
+    )
+
+
+STAGES = [
+    ("language", language), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("pieces", pieces),
+]
 ORACLE_SQL = None  # language ID can't be expressed in SQL
 
 
