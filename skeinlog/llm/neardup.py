@@ -14,6 +14,11 @@ merged, and only pairs of members still in different components are then tested
 left out this way joins documents that are connected already, so components are the same as with
 all links.
 
+A shingle that no other document of the lists has lies in no intersection. Counting these bounds the
+similarity that a document can reach with any other, and a pair's likewise; documents and pairs below
+the threshold by this bound are not compared. So a family of copies that are edited too much to be
+linked costs no comparison for each pair.
+
 Defined results: a null or empty text, or one without words, has an empty set and no links; rows
 that share a doc_id are one document; rows without doc_id take part in nothing and are kept, with
 a null component_id.
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.llm.common import arrow_step, save, scratch
@@ -33,6 +38,7 @@ from skeinlog.llm.hashing import mix, shingle_set, spread
 WORDS, SIMILARITY = 5, 75  # words in a shingle; percent of the union
 COORDINATES, MATCHES = 32, 11
 PREFIX = COORDINATES - MATCHES + 1
+HUB_STEPS = 3
 
 _SIGNED = "doc_id long, n_shingles long, set_sum long, set_xor long, signature array<long>"
 _SET = ["n_shingles", "set_sum", "set_xor"]
@@ -113,6 +119,32 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int,
     return beside(near, sets, "items").where(100 * both >= similarity * union).select("a", "b")
 
 
+def unshared(sets: DataFrame) -> DataFrame:
+    """(node, alone): how many items of each node no other node has. A node with two sets (rows of one
+    doc_id with different texts) counts none."""
+    of_item = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(
+        F.count("*").alias("holders"), F.min("node").alias("node")
+    )
+    alone = of_item.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    versions = sets.groupBy("node").agg(F.count("*").alias("versions"))
+    return versions.join(alone, "node", "left").select(
+        "node", F.when(F.col("versions") == 1, F.coalesce("alone", F.lit(0))).otherwise(F.lit(0)).alias("alone")
+    )
+
+
+def hopeful(lists: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The postings of nodes that may be similar to another node of the lists, with ``shared``."""
+    alone = unshared(sets.join(lists.select("node").distinct(), "node", "left_semi"))
+    found = lists.drop("shared").join(alone, "node").withColumn("shared", F.col("n_shingles") - F.col("alone")).drop("alone")
+    return found.where(100 * F.col("shared") >= similarity * F.col("n_shingles"))
+
+
+def reaches(similarity: int, n: Column, shared: Column, other_n: Column, other_shared: Column) -> Column:
+    """Whether two sets of n items, of which at most ``shared`` are anyone else's, can be similar."""
+    both = F.least(shared, other_shared)
+    return 100 * both >= similarity * (n + other_n - both)
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY,
     coordinates: int = COORDINATES, matches: int = MATCHES,
@@ -134,6 +166,7 @@ def near_duplicates(
     active = lists.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(active, "node", "left_semi")
     sets = save(shingles(texts, words).dropDuplicates(["node", "items"]), folder, "sets")
+    lists = save(hopeful(lists, sets, similarity), folder, "hopeful")
 
     links, labels, step = None, None, 0
     while True:
@@ -142,23 +175,25 @@ def near_duplicates(
         else:
             placed = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = save(placed, folder, f"placed-{step}")
-        alike = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)
         open_pairs, rows = _open_pairs(placed)
         if not open_pairs:
             break
-        last = open_pairs <= 2 * rows or step >= 6
+        last = open_pairs <= 2 * rows or step >= HUB_STEPS
         if last:
             other = placed.select(
-                "at", "value", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("component").alias("c")
+                "at", "value", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("shared").alias("s"),
+                F.col("component").alias("c"),
             )
             pairs = placed.withColumnRenamed("node", "b").join(other, ["at", "value"]).where(
-                (F.col("a") < F.col("b")) & (F.col("c") != F.col("component")) & alike(F.col("n"), F.col("n_shingles"))
+                (F.col("a") < F.col("b")) & (F.col("c") != F.col("component"))
+                & reaches(similarity, F.col("n"), F.col("s"), F.col("n_shingles"), F.col("shared"))
             )
         else:
             rank = F.col("weight") if step == 0 else F.xxhash64(F.lit(step), "node")
-            hubs = placed.groupBy("at", "value").agg(F.max(F.struct(rank.alias("rank"), "node", "n_shingles", "component")).alias("hub"))
+            hubs = placed.groupBy("at", "value").agg(F.max(F.struct(rank.alias("rank"), "node", "n_shingles", "shared", "component")).alias("hub"))
             pairs = placed.join(hubs, ["at", "value"]).where(
-                (F.col("component") != F.col("hub.component")) & alike(F.col("n_shingles"), F.col("hub.n_shingles"))
+                (F.col("component") != F.col("hub.component"))
+                & reaches(similarity, F.col("n_shingles"), F.col("shared"), F.col("hub.n_shingles"), F.col("hub.shared"))
             ).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         tested = save(pairs.select("a", "b").distinct(), folder, f"pairs-{step}")
         found = save(confirmed(tested, nodes, sets, matches, similarity), folder, f"links-{step}")
