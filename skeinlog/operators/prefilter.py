@@ -150,11 +150,13 @@ def text_in_window(value: Column, window: Window) -> Column:
 
 
 def lines_in_window(lines: DataFrame, window: Window) -> DataFrame:
-    """Unframed text lines inside the window: the decision of a line that leads with a time holds
-    for the lines behind it, blank ones included; lines before the first time are kept."""
-    lead = F.regexp_extract("value", r"\A(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", 1)
-    carried = carry_forward(lines, F.nullif(lead, F.lit("")))
-    kept = carried.where(F.col("_current").isNull() | window.holds(F.col("_current")))
+    """Unframed text lines inside the window: the decision of a line that leads with a date and time
+    holds for the lines behind it, blank ones included; lines before the first are kept, and so is
+    what stands behind a time with another zone or without a fraction."""
+    dated = F.col("value").rlike(rf"\A{instants.SECONDS_SHAPE}")
+    decision = F.when(text_in_window(F.col("value"), window), "in").otherwise("out")
+    carried = carry_forward(lines, F.when(dated, decision))
+    kept = carried.where(F.coalesce(F.col("_current") == "in", F.lit(True)))
     return kept.select(*lines.columns)
 
 

@@ -25,7 +25,7 @@ def order_events(events: DataFrame) -> DataFrame:
 
     A range sort first samples its input, which would read and parse the logs twice. The shuffle
     in front holds the matches, so that both the sampling and the sort read those instead."""
-    return events.repartition("_blk", "_mid").orderBy(*EVENT_ORDER)
+    return events.repartition("host.name", "log.file.path", "_blk", "_mid").orderBy(*EVENT_ORDER)
 
 
 def search_events(

@@ -256,3 +256,12 @@ def test_window_on_unframed_lines(lines_of):
     assert [r.value for r in kept.collect()] == [lines[0], *lines[5:]]
     kept = lines_in_window(lines_of(lines), Window(None, "2026-07-23T00:00:05")).orderBy("mid")
     assert [r.value for r in kept.collect()] == lines[:5]
+
+
+def test_window_keeps_lines_whose_time_it_cannot_read(lines_of):
+    lines = [
+        "2026-07-23T02:00:06,100+02:00 inside, other zone", "2026-07-23T00:00:01,100Z outside", "tail",
+        "2026-07-23T00:00:01 no fraction", "tail",
+    ]
+    kept = lines_in_window(lines_of(lines), Window("2026-07-23T00:00:05")).orderBy("mid")
+    assert [r.value for r in kept.collect()] == [lines[0], *lines[3:]]
