@@ -2,7 +2,9 @@
 
 Every run of ``k`` code points has a rolling hash; of each window of ``w`` neighbouring runs the
 smallest hash is kept, the rightmost of equal ones, together with its position. Any passage of at
-least ``w + k - 1`` code points that two texts share leaves at least one common mark in both.
+least ``w + k - 1`` code points that two texts share leaves at least one common mark in both. With
+the fixed ``RUN`` and ``WINDOW`` these are 15, so a text of 29 code points or more always shares a mark
+with its half-edited copy; a shorter one need not.
 
 Defined results: a null text counts as empty; an empty text has no marks; a text of fewer than
 ``k`` code points has one mark, the hash of the whole text at position 0; with fewer than ``w``
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 
 from skeinlog.llm.common import arrow_step, part_count
 
-RUN, WINDOW = 16, 48
+RUN, WINDOW = 8, 8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 _BLOCK = 1 << 19  # windows hashed at once: bounds the memory for a very long text

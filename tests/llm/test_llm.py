@@ -21,6 +21,14 @@ def test_winnowing_keeps_the_rightmost_minimum():
     assert places.tolist() == sorted(wanted) and hashes.tolist() == [runs[p] for p in sorted(wanted)]
 
 
+def test_half_edited_short_texts_share_a_mark():
+    random = np.random.default_rng(3)
+    for n in range(29, 126):
+        own, other = ("".join(map(chr, random.integers(97, 123, n))) for _ in range(2))
+        edited = own[: n - n // 2] + other[: n // 2]
+        assert fingerprints.likeness(fingerprints.winnow(own)[0], fingerprints.winnow(edited)[0]) > 0
+
+
 def test_edited_likeness_with_nulls(spark):
     rows = [(1, "a" * 30 + "b" * 31), (3, None), (9, "wxyz" * 20)]
     got = {r.doc_id: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, DOCS)).collect()}
