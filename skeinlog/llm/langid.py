@@ -10,9 +10,10 @@ text is parsed, in blocks of ``BLOCK`` symbols whose phrases do not cross. Block
 advance together, one table lookup each per symbol.
 
 The sample is bounded: ``SNIPPETS`` pieces of ``SNIPPET_CHARS`` characters per language, from the
-documents whose id has the smallest hashes. Every language has its own table of at most
-``2 * SNIPPETS * SNIPPET_CHARS`` states; there may be ``MAX_LANGUAGES`` languages at most (more is
-an error).
+documents whose id has the smallest hashes. Every language has all letters of its sample as its
+alphabet, whatever the script; a letter that is not among them is a phrase of its own there. Its
+edges, at most three for each symbol of the sample, are kept in one sparse array, and ``MAX_LANGUAGES``
+languages at most are learned (more is an error).
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no rate; with no
 labelled text at all every text is ``und``; equal counts go to the language first by name. The
@@ -52,14 +53,19 @@ def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
     return sorted(found.items())
 
 
+def fold(c: str) -> str:
+    """The lower-case letter of a letter; of a letter that becomes several characters the first."""
+    return c.lower()[0]
+
+
 def symbol_table(letters: str) -> np.ndarray:
     """Code point -> symbol: a letter's place in ``letters``, unknown letter, or space."""
     code = {c: i + 2 for i, c in enumerate(letters)}
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.int32)
     for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            table[point] = code.get(c.lower(), _UNKNOWN)
+            table[point] = code.get(fold(c), _UNKNOWN)
     return table
 
 
@@ -71,12 +77,15 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     return found[keep]
 
 
-def automaton(sequence: np.ndarray, width: int) -> np.ndarray:
-    """The suffix automaton of a sequence as one flat table: from state * width + symbol to the
-    next state or, where there is none, to ~(the state in which the next phrase begins)."""
+def automaton(sequence: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffix automaton of a sequence of symbols below ``width``, as (alphabet, edges, root). A
+    symbol is read as its place in the sorted ``alphabet`` plus one, and as 0 if it is not there.
+    ``edges`` holds the edges of all states but the root in one array, see ``packed``; ``root`` has
+    the root's, by symbol, and 0, the root itself, where there is none."""
+    alphabet, read = np.unique(sequence, return_inverse=True)
     following, link, length = [{}], [-1], [0]
     last = 0
-    for c in sequence.tolist():
+    for c in (read + 1).tolist():
         current = len(following)
         following.append({})
         link.append(0)
@@ -99,17 +108,57 @@ def automaton(sequence: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[current] = copy
         last = current
-    root = np.zeros(width, np.int32)
-    for c, state in following[0].items():
-        root[c] = state
-    table = np.tile(~root, (len(following), 1))
-    for state, row in enumerate(following):
-        for c, to in row.items():
-            table[state, c] = to
-    return table.ravel()
-
-
-def phrase_counts(sequences: list[np.ndarray], tables: list[np.ndarray], width: int, block: int = BLOCK) -> np.ndarray:
+    return alphabet, *packed(following, len(alphabet) + 1)
+
+
+def packed(following: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(edges, root): states are renamed to places in ``edges`` such that the edge of state s with
+    symbol c is at s + c, as s << 32 | next state; any other value there means that s has no such
+    edge. Each state takes the first place found at which its edges fit between those set before; the
+    search starts further on where the places before are nearly full."""
+    place = [0] * len(following)
+    size = 2 * (len(following) + width)
+    taken, named = bytearray(size), bytearray(size)
+    named[0] = 1
+    # A place that does not fit a set of symbols never fits it later.
+    tried: dict[tuple[int, ...], int] = {}
+    start = [1] * (width + 1)
+    for state in sorted(range(1, len(following)), key=lambda s: -len(following[s])):
+        key = tuple(sorted(following[state]))
+        first, others = (key[0], key[1:]) if key else (0, ())
+        at, tries = tried.get(key, max(first + 1, start[len(key)])), 0
+        while True:
+            free = taken.find(0, at) if key else at
+            if not 0 <= free < size - width:
+                taken.extend(bytes(size))
+                named.extend(bytes(size))
+                size *= 2
+                continue
+            at = free
+            begin = at - first
+            if not named[begin] and not any(taken[begin + c] for c in others):
+                break
+            at, tries = at + 1, tries + 1
+        if tries > 16:
+            start[len(key)] = at
+        tried[key] = at + 1
+        named[begin] = 1
+        for c in key:
+            taken[begin + c] = 1
+        place[state] = begin
+    edges = np.full(max(place) + width, -1, np.int64)
+    for state in range(1, len(following)):
+        for c, to in following[state].items():
+            edges[place[state] + c] = place[state] << 32 | place[to]
+    root = np.zeros(width, np.int64)
+    for c, to in following[0].items():
+        root[c] = place[to]
+    return edges, root
+
+
+def phrase_counts(
+    sequences: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], width: int, block: int = BLOCK
+) -> np.ndarray:
     """[sequence, table]: how many phrases each sequence takes."""
     counts = np.zeros((len(sequences), len(tables)), np.int64)
     lanes = [(i, s[b : b + block]) for i, s in enumerate(sequences) for b in range(0, len(s), block)]
@@ -118,19 +167,22 @@ def phrase_counts(sequences: list[np.ndarray], tables: list[np.ndarray], width:
         return counts
     owner = np.array([i for i, _ in lanes])
     lengths = np.array([len(s) for _, s in lanes])
-    grid = np.zeros((len(lanes), lengths[0]), np.uint8)
+    grid = np.zeros((len(lanes), lengths[0]), np.int32)
     grid[np.arange(lengths[0]) < lengths[:, None]] = np.concatenate([s for _, s in lanes])
     grid = np.ascontiguousarray(grid.T)
     active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-    for k, table in enumerate(tables):
-        state = np.zeros(len(lanes), np.int32)
+    for k, (alphabet, edges, root) in enumerate(tables):
+        own = np.zeros(width, np.int32)
+        own[alphabet] = np.arange(1, len(alphabet) + 1)
+        state = np.zeros(len(lanes), np.int64)
         phrases = np.zeros(len(lanes), np.int32)
         for j, n in enumerate(active):
-            found = table[state[:n] * width + grid[j, :n]]
-            miss = found >> 31
-            phrases[:n] -= miss
-            state[:n] = found ^ miss
-        phrases += state > 0
+            # The root has no edge in ``edges``, so each miss begins a phrase, an unknown letter its own.
+            at, read = state[:n], own[grid[j, :n]]
+            found = edges[at + read]
+            miss = found >> 32 != at
+            phrases[:n] += miss
+            state[:n] = np.where(miss, root[read], found & 0xFFFFFFFF)
         np.add.at(counts[:, k], owner, phrases)
     return counts
 
@@ -139,13 +191,8 @@ class Model:
     """Languages with their tables; small, as it holds the bounded sample only."""
 
     def __init__(self, samples: list[tuple[str, list[str]]]):
-        joined = {lang: " ".join(texts).lower() for lang, texts in samples}
-        seen: dict[str, int] = {}
-        for text in joined.values():
-            for c in text:
-                if c.isalpha():
-                    seen[c] = seen.get(c, 0) + 1
-        letters = "".join(sorted(sorted(seen), key=lambda c: -seen[c])[:250])
+        joined = {lang: " ".join(texts) for lang, texts in samples}
+        letters = "".join(sorted({fold(c) for c in set().union(*joined.values()) if c.isalpha()}))
         self.width = len(letters) + 2
         self.symbols = symbol_table(letters)
         self.languages, self.tables, self.bits = [], [], []
@@ -153,7 +200,7 @@ class Model:
             read = symbols(text, self.symbols)
             if (read > _SPACE).any():
                 self.languages.append(lang)
-                self.tables.append(automaton(read[read != _UNKNOWN], self.width))
+                self.tables.append(automaton(read, self.width))
                 self.bits.append(np.log2(len(read) + 1))
 
     def rates(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

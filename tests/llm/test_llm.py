@@ -64,6 +64,28 @@ def test_phrases_by_brute_force():
     assert found[0, 0] == phrases + 1
 
 
+def test_every_letter_of_every_script_counts(spark):
+    random = np.random.default_rng(7)
+    scripts = {"am": 0x1200, "de": 0x61, "ko": 0xAC00, "zh-a": 0x4E00, "zh-b": 0x5E00}
+
+    def text(lang):  # words of three letters, drawn from a vocabulary of each language's own
+        places = random.integers(0, 8 if lang == "de" else 60, 40)
+        return " ".join("".join(chr(scripts[lang] + 3 * int(p) + i) for i in range(3)) for p in places)
+
+    rows = [(i, lang, text(lang)) for i, lang in enumerate([*scripts] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(docs)
+    assert all(model.symbols[ord(c)] > langid._UNKNOWN for _, _, t in rows[:5] for c in t if c.isalpha())
+    assert max(len(edges) for _, edges, _ in model.tables) < 5 * langid.SNIPPETS * langid.SNIPPET_CHARS
+    assert all(r.lang_pred == r.lang for r in langid.identify(docs, model).collect())
+
+
+def test_an_unknown_letter_is_a_phrase(spark):
+    table = langid.automaton(np.array([2, 5000, 2, 2]), 5003)
+    found = langid.phrase_counts([np.array([2, 5000, 4000, 4000, 2, 2, 5000, 2, 5000])], [table], 5003)
+    assert found[0, 0] == 6  # 2 5000 | 4000 | 4000 | 2 2 | 5000 2 | 5000
+
+
 VECTORS = "vec_id long, embedding array<float>, cell int"
 
 
