@@ -28,10 +28,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, and every row without doc_id."""
-    found = neardup.near_duplicates(docs)
-    gone = found.where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates stays, and every row without doc_id. A row goes by its
+    doc_id and its text."""
+    found = neardup.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id", "digest")
+    found = found.agg(F.max("kept").alias("stays"), F.count("*").alias("rows")).where("not stays or rows > 1")
+    found = save(found, scratch(spark), "marked")
+    keyed = docs.withColumn("digest", neardup.digest(F.col("text")))
+    others = keyed.join(found, ["doc_id", "digest"], "left_anti")
+    repeated = keyed.join(found.where("stays"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return others.unionByName(repeated).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,9 +19,11 @@ similarity that a document can reach with any other, and a pair's likewise; docu
 the threshold by this bound are not compared. So a family of copies that are edited too much to be
 linked costs no comparison for each pair.
 
-Defined results: a null or empty text, or one without words, has an empty set and no links; rows
-that share a doc_id are one document; rows without doc_id take part in nothing and are kept, with
-a null component_id.
+Defined results: a document is a doc_id with a text, so rows that share a doc_id and have different
+texts are decided each for itself, and of rows equal in both one is kept. The smallest doc_id of a
+component names it; the smallest text digest decides between that doc_id's texts. A null or empty
+text, or one without words, has an empty set and no links; rows without doc_id take part in nothing
+and are kept, with a null component_id.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ COORDINATES, MATCHES = 32, 11
 PREFIX = COORDINATES - MATCHES + 1
 HUB_STEPS = 3
 
-_SIGNED = "doc_id long, n_shingles long, set_sum long, set_xor long, signature array<long>"
+_SIGNED = "doc_id long, digest binary, n_shingles long, set_sum long, set_xor long, signature array<long>"
 _SET = ["n_shingles", "set_sum", "set_xor"]
 
 
@@ -53,8 +55,13 @@ def signature(items: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.n
     return least.view(np.int64)
 
 
+def digest(text: Column) -> Column:
+    """Tells texts apart; a null text is not an empty one."""
+    return F.coalesce(F.unhex(F.sha2(text.cast("binary"), 256)), F.lit(b""))
+
+
 def signatures(docs: DataFrame, words: int = WORDS, coordinates: int = COORDINATES) -> DataFrame:
-    """Per document: size and 128-bit fingerprint of its shingle set, and its signature."""
+    """Per row: text digest, size and 128-bit fingerprint of its shingle set, and its signature."""
     factors, terms = spread(coordinates, 2) | np.uint64(1), spread(coordinates, 3)
 
     def step(batches):
@@ -68,11 +75,12 @@ def signatures(docs: DataFrame, words: int = WORDS, coordinates: int = COORDINAT
                 all_signed.append(signature(items, factors, terms) if len(items) else np.empty(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in all_signed])))
             yield {
-                "doc_id": batch.column("doc_id"), "n_shingles": sizes, "set_sum": sums, "set_xor": xors,
+                "doc_id": batch.column("doc_id"), "digest": batch.column("digest"), "n_shingles": sizes, "set_sum": sums, "set_xor": xors,
                 "signature": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(all_signed))),
             }
 
-    return arrow_step(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, _SIGNED)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
+    return arrow_step(rows, step, _SIGNED)
 
 
 def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -120,16 +128,12 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int,
 
 
 def unshared(sets: DataFrame) -> DataFrame:
-    """(node, alone): how many items of each node no other node has. A node with two sets (rows of one
-    doc_id with different texts) counts none."""
+    """(node, alone): how many items of each node no other node has."""
     of_item = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(
         F.count("*").alias("holders"), F.min("node").alias("node")
     )
     alone = of_item.where("holders = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    versions = sets.groupBy("node").agg(F.count("*").alias("versions"))
-    return versions.join(alone, "node", "left").select(
-        "node", F.when(F.col("versions") == 1, F.coalesce("alone", F.lit(0))).otherwise(F.lit(0)).alias("alone")
-    )
+    return sets.select("node").join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
 def hopeful(lists: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -149,23 +153,27 @@ def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY,
     coordinates: int = COORDINATES, matches: int = MATCHES,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of docs."""
+    """(doc_id, digest, n_shingles, component_id, kept), one row for each row of docs. Each component
+    has one row that is kept, rows without shingles one for each doc_id and text."""
     folder = scratch(docs.sparkSession)
-    base = save(signatures(docs, words, coordinates), folder, "signatures")
-    classes = save(
-        base.where("n_shingles > 0 and doc_id is not null").groupBy(_SET).agg(F.min("doc_id").alias("node")),
-        folder, "classes",
-    )
-    # doc_id is part of the key, so that a large class does not meet in one task.
-    first = base.select(F.col("doc_id").alias("node"), *_SET, "signature")
-    nodes = save(
-        first.join(classes, [*_SET, "node"]).dropDuplicates(["node", *_SET]).select("node", "n_shingles", "signature"),
-        folder, "nodes",
-    )
+    base = signatures(docs, words, coordinates)
+    alone = F.col("n_shingles") == 0  # in a class of its own
+    for column, seed in (("set_sum", 0), ("set_xor", 1)):
+        base = base.withColumn(column, F.when(alone, F.xxhash64(F.lit(seed), "doc_id", "digest")).otherwise(F.col(column)))
+    # Written, so that a row and a node have one number from here on.
+    base = save(base.withColumn("row", F.monotonically_increasing_id()), folder, "signatures")
+    head = F.min(F.struct("doc_id", "digest", "row")).alias("head")
+    classes = base.where("doc_id is not null").groupBy(_SET).agg(head)
+    classes = save(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes")
+    # The row is part of the key, so that a large class does not meet in one task.
+    heads = classes.where("n_shingles > 0").select(*_SET, F.col("head.row").alias("row"), "node", "head")
+    nodes = save(base.join(heads, [*_SET, "row"]).select("node", "n_shingles", "signature"), folder, "nodes")
     lists = save(postings(nodes, coordinates, coordinates - matches + 1), folder, "postings")
     active = lists.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(active, "node", "left_semi")
-    sets = save(shingles(texts, words).dropDuplicates(["node", "items"]), folder, "sets")
+    active = heads.join(active, "node").select("head.doc_id", "head.digest", "node")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
+    texts = own.join(active, ["doc_id", "digest"])
+    sets = save(shingles(texts, words).dropDuplicates(["node"]), folder, "sets")
     lists = save(hopeful(lists, sets, similarity), folder, "hopeful")
 
     links, labels, step = None, None, 0
@@ -205,14 +213,14 @@ def near_duplicates(
 
     known = base.drop("signature").join(classes, _SET, "left")
     if labels is not None:
-        known = known.join(labels, "node", "left")
-    else:
-        known = known.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(
-        F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")
-    )
-    return known.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+        # The node numbers are arbitrary; a component's head is its smallest document.
+        firsts = labels.join(classes, "node").groupBy("component").agg(F.min("head").alias("first"))
+        known = known.join(labels.join(firsts, "component").select("node", "first"), "node", "left")
+        known = known.withColumn("head", F.coalesce("first", "head"))
+    named = F.col("doc_id").isNotNull()
+    return known.select(
+        "doc_id", "digest", "n_shingles", F.when(named, F.col("head.doc_id")).alias("component_id"),
+        F.when(named, F.col("row") == F.col("head.row")).otherwise(F.lit(True)).alias("kept"),
     )
 
 

@@ -81,7 +81,7 @@ def op7_cross_parsing(spark, sf_dir):
     from sizes left join lowest using (doc_id)"""
 )
 def op10_minhash_coordinates(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 @query(
