@@ -15,9 +15,9 @@ from skeinlog.llm.common import save, scratch, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, which have no language, go."""
+    """Documents without a letter, which have no language, go; without a labelled text all others stay."""
     found = langid.identify(docs, langid.train(docs))
-    return found.where("lang_pred <> 'und'").select(docs.columns)
+    return found.where("lettered").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -223,11 +223,11 @@ def train(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score and rate (bits per symbol of the best language; null for und).
-    Columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "score", "rate")
+    """docs with lang_pred, score, rate (bits per symbol of the best language; null for und) and
+    lettered (whether the text has a letter). Columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score", "rate", "lettered")
     names = docs.columns
-    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("lang_pred string, score double, rate double").fields)
+    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("lang_pred string, score double, rate double, lettered boolean").fields)
     # Plain arrays, bounded by MAX_LANGUAGES tables; a worker reads them once.
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
@@ -248,6 +248,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     best = (model.languages[k], 1.0 if total == float("inf") else second / total if total else 0.5, float(row[k]))
                 for column, value in zip(found.values(), best):
                     column.append(value)
-            yield {**{n: batch.column(i) for i, n in enumerate(names)}, **found}
+            yield {**{n: batch.column(i) for i, n in enumerate(names)}, **found, "lettered": lettered}
 
     return arrow_step(docs, step, schema)

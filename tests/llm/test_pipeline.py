@@ -23,3 +23,12 @@ def test_near_copies_goes_by_row(spark):
     assert len(found) == len(rows) and sum(r.kept for r in found) == len(wanted)
     assert sorted(r.component_id for r in found if r.doc_id == 5) == [3, 3, 5]
     assert {r.component_id for r in found if r.doc_id == 9} == {5}
+
+
+def test_language_keeps_lettered_texts_without_labels(spark):
+    rows = [(1, "a text", None), (2, "12 !", None), (3, None, None), (4, "", None), (5, "\u4e2d", None)]
+    got = corpus_pipeline.language(spark, table_of(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 5]
+    rows = [(i, f"a text {i}", "und") for i in range(20)] + [(30, "7", "und")]
+    got = corpus_pipeline.language(spark, table_of(spark, rows), "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(20))
