@@ -69,6 +69,12 @@ def as_object(value: Column) -> Column:
     return F.try_variant_get(value, "$", "map<string,variant>")
 
 
+def brackets(value: Column) -> Column:
+    """How many lists and objects a value holds at most: no nesting goes deeper."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.length(text) - F.length(F.translate(text, "[{", ""))
+
+
 def is_string(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 

@@ -10,14 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinlog.functions.instants import SECONDS_SHAPE, iso_text
-from skeinlog.functions.variants import as_array, as_object, bind
+from skeinlog.functions.variants import as_array, as_object, bind, brackets
 from skeinlog.operators.predicates import RESERVED
 
 # Fixed value: how many example values a field shows.
 EXAMPLES = 3
 
-MAX_DEPTH = 64
-
 _LEAVES = "array<struct<field:string,v:variant,kind:string>>"
 
 
@@ -77,9 +75,10 @@ def _one_down(leaves: Column) -> Column:
     return F.flatten(F.transform(leaves, opened))
 
 
-def body_leaves(body: Column, max_depth: int, reserved: tuple[str, ...] = RESERVED) -> Column:
+def body_leaves(body: Column, max_depth: int | None, reserved: tuple[str, ...] = RESERVED) -> Column:
     """The leaves of a body. The steps down are one loop inside the expression, which does
-    nothing more once no object or list is left."""
+    nothing more once no object or list is left; without ``max_depth`` it is as long as the record
+    needs."""
 
     def state(leaves: Column) -> Column:
         more = F.exists(leaves, lambda x: _is_object(x) | _is_list(x))
@@ -90,7 +89,7 @@ def body_leaves(body: Column, max_depth: int, reserved: tuple[str, ...] = RESERV
         lambda e: _leaf(e["key"], e["value"]),
     ).cast(_LEAVES)
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)),
+        F.sequence(F.lit(1), brackets(body) if max_depth is None else F.lit(max_depth)),
         F.struct(top.alias("leaves"), F.lit(True).alias("more")),
         lambda acc, _: F.when(
             acc["more"], state(_one_down(acc["leaves"]).cast(_LEAVES))
@@ -115,7 +114,7 @@ def family(value: Column, kind: Column) -> Column:
     )
 
 
-def leaves(events: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def leaves(events: DataFrame, max_depth: int | None = None) -> DataFrame:
     """One row per leaf value: ``dataset, host, field, family, json, first`` where ``first`` marks
     the first value of a field in its event. Nulls are left out, as ``exists`` does. One pass over
     the events, no shuffle."""

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.operators.catalog import MAX_DEPTH, count_fields, examples, field_caps, leaves
+from skeinlog.operators.catalog import count_fields, examples, field_caps, leaves
 from skeinlog.operators.events import to_events
 from skeinlog.operators.framing import RECORD_COLUMNS, frame, local_records
 from skeinlog.plans.profile import Framing, Profile
@@ -45,7 +45,7 @@ def discover_fields(
     type_: str | None = None,
     hosts: Any = None,
     sample: int | None = 500,
-    max_depth: int = MAX_DEPTH,
+    max_depth: int | None = None,
     collected: datetime | None = None,
 ) -> Discovery:
     """Which fields the events have. ``sample`` is the number of last lines per file; None reads

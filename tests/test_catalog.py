@@ -75,3 +75,15 @@ def test_examples_are_the_smallest_distinct_values(spark):
     frame = spark.createDataFrame(rows, "field string, json string").repartition(7)
     got = {r.field: r.examples for r in C.examples(frame).collect()}
     assert got == {"f": ['"000"', '"001"', '"002"'], "g": ["1"]}
+
+
+def test_a_record_may_be_deeper_than_any_fixed_depth(spark, tmp_path):
+    deep = 1
+    for _ in range(90):
+        deep = {"k": [deep]}
+    file = tmp_path / "h1/logs/deep.json"
+    file.parent.mkdir(parents=True)
+    file.write_text(json.dumps({"deep": deep}) + "\n")
+    got = discover_fields(spark, str(tmp_path), PROFILE, type_="a", hosts=["h1"])
+    fields = json.loads(got.report.first()[0])["fields"]
+    assert ".".join(["deep"] + ["k"] * 90) in fields
