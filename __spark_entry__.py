@@ -18,6 +18,7 @@ from skeinlog.operators.demux import demux
 from skeinlog.operators.events import to_events
 from skeinlog.operators.predicates import BodyFields, compile_query, predicate
 from skeinlog.operators.prefilter import Window, lines_in_window
+from skeinlog.plans.discovery import discover_fields
 from skeinlog.plans.profile import Framing, LogInput, Profile, profile_from_dict
 from skeinlog.plans.search import (
     differences,
@@ -1064,6 +1065,27 @@ def search_files(spark, sf_dir):
     return _shown(search(spark, root, _FILES_PROFILE, filter_, collected=COLLECTED).events)
 
 
+@query(
+    "with ranked as (select *, row_number() over (partition by user_id % 4, event_id % 8 order by event_id desc) as r from events), "
+    "taken as (select 'h' || user_id % 4 as host, event_id, event_type from ranked where r <= 20) "
+    "select host, 'message' as field, 'keyword' as family, count(*) as n from taken group by all "
+    "union all select host, 'event_id', 'long', count(event_id) from taken group by all "
+    "union all select host, 'event_type', 'keyword', count(event_type) from taken group by all"
+)
+def discover_sampled_files(spark, sf_dir):
+    """Discovery with a sample over log files, those of every second host gzipped."""
+    root = tables.scratch(spark)
+    rows = tables.event_rows(spark, sf_dir).withColumn("part", F.col("event_id") % 8)
+    for i, host in enumerate(("h0", "h1", "h2", "h3")):
+        lines = rows.where(F.col("user_id") % 4 == i).select("part", "event_id", F.to_json(F.struct("event_id", "event_type")).alias("value"))
+        lines = lines.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value")
+        lines.write.partitionBy("part").option("compression", "gzip" if i % 2 else "none").text(f"{root}/{host}/logs/events")
+    inputs = [{"type": "events", "path": ["events/*/part-*"], "codec": "json"}]
+    profile = profile_from_dict("shop", {"hosts": ["h0", "h1", "h2", "h3"], "base_dir": "/logs", "inputs": inputs})
+    found = discover_fields(spark, root, profile, sample=20).catalog
+    return found.where(F.col("field").isin("message", "event_id", "event_type")).select("host", "field", "family", "n")
+
+
 @query(_shown_sql("true"))
 def stream_follow(spark, sf_dir):
     """Follow the log files in two runs from one checkpoint: the second finds only new lines."""

@@ -16,7 +16,7 @@ from skeinlog.operators.framing import RECORD_COLUMNS, frame, local_records
 from skeinlog.plans.profile import Framing, Profile
 from skeinlog.plans.search import read_events
 from skeinlog.sources.inventory import assign_inputs, list_files, missing_hosts
-from skeinlog.sources.samples import sample_lines
+from skeinlog.sources.samples import is_compressed, sample_lines, scanned_sample
 
 
 @dataclass
@@ -59,8 +59,9 @@ def discover_fields(
         assigned = assign_inputs(files, scoped)
         parts = []
         for inp in scoped.inputs:
-            lines = sample_lines(assigned.where(F.col("type") == inp.type), sample)
-            parts.append(to_events(sampled_records(lines, inp.framing), scoped, inp, collected))
+            plain = assigned.where((F.col("type") == inp.type) & ~is_compressed(spark, F.col("path")))
+            for lines in (sample_lines(plain, sample), scanned_sample(spark, root, scoped, inp, sample)):
+                parts.append(to_events(sampled_records(lines, inp.framing), scoped, inp, collected))
         events = reduce(DataFrame.unionByName, parts)
     rows = leaves(events, max_depth)
     # A few rows per field, read by every part of the report; without this each part would read

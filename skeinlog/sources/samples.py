@@ -1,13 +1,15 @@
-"""The last lines of files, read from their ends."""
+"""The last lines of files, read from their ends; compressed files have to be read whole."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skeinlog.plans.profile import LogInput, Profile
+from skeinlog.sources.lines import LINE_COLUMNS, input_lines, last_lines, raw_files
 from skeinlog.streaming.follow import store_of
 
 _LINES = "host string, path string, blk bigint, mid bigint, value string, whole boolean"
@@ -63,3 +65,30 @@ def sample_lines(files: DataFrame, n: int) -> DataFrame:
                 )
 
     return files.select("host", "path", "uri", F.col("length").cast("long")).mapInArrow(read, _LINES)
+
+
+def is_compressed(spark: SparkSession, path: Column) -> Column:
+    """Whether the text scan decodes a file of this name."""
+    jvm, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    found = jvm.io.compress.CompressionCodecFactory.getCodecClasses(conf)
+    suffixes = [jvm.util.ReflectionUtils.newInstance(c, conf).getDefaultExtension() for c in found]
+    tests = [path.endswith(s) for s in suffixes if s]
+    return F.exists(F.array(*tests), lambda x: x) if tests else F.lit(False)
+
+
+def scanned_sample(spark: SparkSession, root: str, profile: Profile, inp: LogInput, n: int) -> DataFrame:
+    """A lines table with the last ``n`` lines of every compressed file of an input; ``mid`` is 0 only
+    for a file's first line."""
+    raw = raw_files(spark, root, profile, inp.framing.delimiter)
+    lines = input_lines(raw, root, profile, inp, lambda _, path: is_compressed(spark, path))
+    # One line more tells whether the file has lines before the sample.
+    file = Window.partitionBy("host", "path")
+    ranked = last_lines(lines, n + 1).select(
+        "host", "path", "value", F.count("*").over(file).alias("held"),
+        F.row_number().over(file.orderBy("blk", "mid")).cast("long").alias("at"),
+    )
+    kept = ranked.where((F.col("held") <= n) | (F.col("at") > 1)).select(
+        "host", "path", F.lit(0).cast("long").alias("blk"), (F.col("at") - 1).alias("mid"), "value",
+        F.lit(True).alias("whole"),
+    )
+    return kept.sortWithinPartitions("host", "path", "mid").select(*LINE_COLUMNS)

@@ -87,3 +87,24 @@ def test_a_record_may_be_deeper_than_any_fixed_depth(spark, tmp_path):
     got = discover_fields(spark, str(tmp_path), PROFILE, type_="a", hosts=["h1"])
     fields = json.loads(got.report.first()[0])["fields"]
     assert ".".join(["deep"] + ["k"] * 90) in fields
+
+
+def test_a_sample_decodes_compressed_files(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "h1/logs"
+    folder.mkdir(parents=True)
+    profile = profile_from_dict("p", {**SPEC, "inputs": [
+        {"type": "a", "path": ["*.json", "*.json.gz"], "codec": "json"},
+        {"type": "b", "path": ["*.log.gz"], "codec": {"multiline": {"pattern": "^2026", "negate": True}}},
+    ]})
+    for name, opener in (("x.json", open), ("y.json.gz", gzip.open)):
+        with opener(folder / name, "wt") as out:
+            out.writelines(json.dumps({f"{name[0]}{i // 3}": i}) + "\n" for i in range(6))
+    with gzip.open(folder / "z.log.gz", "wt") as out:
+        out.write("2026 one\n more\n2026 two\n end\n")
+    got = discover_fields(spark, str(tmp_path), profile, hosts=["h1"], sample=3)
+    counts = {(r.dataset, r.field): r for r in got.catalog.collect()}
+    assert {f for t, f in counts if t == "a" and f[1:] in ("0", "1")} == {"x1", "y1"}
+    assert counts["a", "x1"].n == counts["a", "y1"].n == 3
+    assert counts["b", "message"].n == 1  # the record before it lost its first line to the sample
