@@ -96,8 +96,9 @@ class _Follower(DataSourceStreamReader):
         if self.planned is not None:
             starts = _starts(self.planned, {"files": sizes, "ids": ids})
             left = self.per_batch
-            for name in sorted(sizes):
-                grown = min(sizes[name] - starts[name], left)
+            # The least grown first: what a file does not need of its share goes to the others.
+            for i, name in enumerate(sorted(sizes, key=lambda n: (sizes[n] - starts[n], n))):
+                grown = min(sizes[name] - starts[name], left // (len(sizes) - i))
                 sizes[name] = starts[name] + grown
                 left -= grown
         self.planned = {"files": sizes, "ids": ids}

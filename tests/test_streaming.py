@@ -125,3 +125,14 @@ def test_a_batch_is_planned_within_its_bytes(tmp_path):
         seen += parts
         start = end
     assert sum(p.end - p.start for p in seen) == 220
+
+
+def test_the_bytes_of_a_batch_are_shared_over_the_files(tmp_path):
+    from skeinlog.streaming.follow import _Follower
+
+    for name, size in (("a.log", 9000), ("b.log", 100), ("c.log", 2000)):
+        (tmp_path / "h1").mkdir(exist_ok=True)
+        (tmp_path / "h1" / name).write_text("x" * (size - 1) + "\n")
+    follower = _Follower({"path": str(tmp_path), "maxBytesPerBatch": "1000"})
+    follower.planned = follower.initialOffset()
+    assert follower.latestOffset()["files"] == {"h1/a.log": 450, "h1/b.log": 100, "h1/c.log": 450}
