@@ -36,21 +36,22 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash of each word ``[^\\x20\\x09-\\x0D]+``, A-Z taken as a-z."""
+def word_hashes(text: str, breaks: np.ndarray = _SPACE) -> np.ndarray:
+    """A hash of each word, A-Z taken as a-z. breaks: whether a byte parts words; as it stands, the
+    words are ``[^\\x20\\x09-\\x0D]+``."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     found, begin = [], 0
     while begin < len(data):
         end = min(len(data), begin + _BLOCK)
-        while end < len(data) and not _SPACE[data[end]]:  # a word is never cut
+        while end < len(data) and not breaks[data[end]]:  # a word is never cut
             end += 1
-        found.append(_words(data[begin:end]))
+        found.append(_words(data[begin:end], breaks))
         begin = end
     return np.concatenate(found) if found else np.empty(0, _U)
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    inside = ~_SPACE[data]
+def _words(data: np.ndarray, breaks: np.ndarray) -> np.ndarray:
+    inside = ~breaks[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
     if not len(edges):
         return np.empty(0, _U)
