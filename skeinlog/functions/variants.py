@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PATH_SEGMENTS = 6
-
 _LAST_KEY = "~skein-end-7f3a~"
 
 
@@ -36,29 +32,14 @@ def parse_objects(df: DataFrame, text: str, name: str) -> DataFrame:
     return bind(df, name, F.when(_one_object(F.col(text)), F.try_parse_json(text)))
 
 
+def quotable(key: str) -> bool:
+    """Whether a path can name the key: it is quoted there, and the path language knows no escapes."""
+    return key != "" and "?" not in key and not ("'" in key and '"' in key)
+
+
 def json_path(keys: list[str]) -> str:
     """A VARIANT path; every key is quoted, so it may hold dots and ``@``."""
-    for key in keys:
-        if "'" in key or '"' in key:
-            raise ValueError(f"field name may not contain quotes: {key!r}")
-    return "$" + "".join(f"['{key}']" for key in keys)
-
-
-def spellings(field: str) -> list[list[str]]:
-    """Every way a dotted name can be laid out as nested and flat-dotted keys, flattest first."""
-    parts = field.split(".")
-    if len(parts) > MAX_PATH_SEGMENTS:
-        raise ValueError(f"field name has more than {MAX_PATH_SEGMENTS} segments: {field!r}")
-    found = []
-    for cuts in product([False, True], repeat=len(parts) - 1):
-        keys = [parts[0]]
-        for part, cut in zip(parts[1:], cuts):
-            if cut:
-                keys.append(part)
-            else:
-                keys[-1] += "." + part
-        found.append(keys)
-    return found
+    return "$" + "".join(f'["{key}"]' if "'" in key else f"['{key}']" for key in keys)
 
 
 def as_array(value: Column) -> Column:
@@ -75,6 +56,32 @@ def brackets(value: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, "[{", ""))
 
 
+# Fixed value: lists inside lists are opened so often before their depth is measured.
+_SHALLOW = 3
+
+
+def opened(items: Column) -> Column:
+    """The elements of a list; lists among them are opened up until none is left."""
+
+    def state(flat: Column) -> Column:
+        more = F.exists(flat, lambda x: as_array(x).isNotNull())
+        return F.struct(flat.cast("array<variant>").alias("flat"), more.alias("more"))
+
+    def once(acc: Column, _: Column) -> Column:
+        flat = F.flatten(F.transform(acc["flat"], lambda x: F.coalesce(as_array(x), F.array(x))))
+        return F.when(acc["more"], state(flat)).otherwise(acc)
+
+    few = F.aggregate(F.array(*[F.lit(i) for i in range(_SHALLOW)]), state(items), once)
+
+    def rest(acc: Column) -> Column:
+        # Only here the text of what is left is looked at: it bounds the number of steps.
+        depth = F.aggregate(acc["flat"], F.lit(0), lambda n, x: n + F.coalesce(brackets(x), F.lit(0)))
+        return F.aggregate(F.sequence(F.lit(1), depth), acc, once, lambda deep: deep["flat"])
+
+    # A one-element array, so that the first steps are made once.
+    return F.flatten(F.transform(F.array(few), lambda acc: F.when(acc["more"], rest(acc)).otherwise(acc["flat"])))
+
+
 def is_string(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,11 +17,9 @@ from pyspark.sql import functions as F
 from skeinlog.functions import instants
 from skeinlog.operators.carry import carry_forward
 from skeinlog.operators.events import AGENT_TYPE, ECS_VERSION, captures, label_columns
-from skeinlog.operators.predicates import RESERVED, Query, TextField, as_number, has_wildcard
+from skeinlog.operators.predicates import RESERVED, Query, TextField
 from skeinlog.plans.profile import LabelFilter, LogInput, Profile
 
-_SECOND = "%Y-%m-%dT%H:%M:%S"
-
 
 # ---------------------------------------------------------------- hosts, inputs, files
 
@@ -94,38 +93,40 @@ def _on_path(profile: Profile, inp: LogInput, name: str, path: Column) -> Column
 
 @dataclass(frozen=True)
 class Window:
-    """Whole seconds in UTC, both inclusive; None is open."""
+    """Two instants that all matching events lie between, None where it is open. Written times are
+    compared by their whole seconds in UTC."""
+
+    since: datetime | None = None
+    until: datetime | None = None
 
-    since: str | None = None
-    until: str | None = None
+    @classmethod
+    def of(cls, query: Query) -> Window:
+        """The window of the bounds that a query requires."""
+        bounds = [(c.kind[0], c.instant()) for c in query.required]
+        since = [at for side, at in bounds if at is not None and side == "g"]
+        until = [at for side, at in bounds if at is not None and side == "l"]
+        return cls(max(since, default=None), min(until, default=None))
 
     def __bool__(self) -> bool:
-        return self.since is not None or self.until is not None
+        return (self.since or self.until) is not None
 
-    def holds(self, second: Column) -> Column:
-        kept = F.lit(True)
-        if self.since is not None:
-            kept = kept & (second >= self.since)
-        if self.until is not None:
-            kept = kept & (second <= self.until)
-        return kept
+    def seconds(self) -> tuple[str, str]:
+        """The first and the last second as text; any second lies between the ends of an open side."""
+        texts = [at and at.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S") for at in (self.since, self.until)]
+        return texts[0] or "", texts[1] or "~"
 
+    def holds(self, second: Column) -> Column:
+        return second.between(*self.seconds())
 
-def second_of(at: datetime) -> str:
-    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
-    return at.astimezone(timezone.utc).strftime(_SECOND)
+    def may_hold(self, head: str) -> bool:
+        """The decision of :func:`text_in_window` on a Python text."""
+        lead = _UTC_LEAD.match(head)
+        first, last = self.seconds()
+        return lead is None or first <= lead.group(1) <= last
 
 
-def window_of(query: Query) -> Window:
-    """The window all matching events lie in, widened to whole seconds."""
-    since, until = [], []
-    for needed in query.required:
-        at = instants.parse_bound(needed.value) if needed.field == "@timestamp" else None
-        if at is not None and needed.kind in ("gte", "gt"):
-            since.append(second_of(at))
-        elif at is not None and needed.kind in ("lte", "lt"):
-            until.append(second_of(at))
-    return Window(max(since, default=None), min(until, default=None))
+# The same shape as instants.LEADING_TIME, where the zone is UTC or not written.
+_UTC_LEAD = re.compile(r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})[.,]\d+(?:Z|[+-]00:?00|(?![+-]\d{2}:?\d{2}|\d))", re.ASCII)
 
 
 def json_in_window(value: Column, window: Window, key: str = "timestamp") -> Column:
@@ -160,43 +161,40 @@ def lines_in_window(lines: DataFrame, window: Window) -> DataFrame:
     return kept.select(*lines.columns)
 
 
-# ---------------------------------------------------------------- literal terms
+# ---------------------------------------------------------------- conditions of a query
 
 
-def literal_terms(query: Query, inp: LogInput) -> list[str]:
-    """Texts a matching raw JSON line must contain, unless it has a backslash. Only terms on body
-    fields with one possible spelling: no number, no boolean, no wildcard, plain characters."""
-    if inp.framing.codec != "json":
-        return []
-    found = []
-    for needed in query.required:
-        value = needed.value
-        top = needed.field.split(".")[0]
-        if needed.kind != "match" or top in RESERVED or has_wildcard(value):
-            continue
-        if as_number(value) is not None or value.lower() in ("true", "false"):
-            continue
-        if re.fullmatch(r"[A-Za-z0-9._:@+ -]+", value):
-            found.append(value)
-    return found
+def needed_window(query: Query, collected: datetime) -> Window | None:
+    """The window that a record's own time must lie in, or None. A record whose time cannot be read
+    takes the collection time, so there is none where the window holds that time."""
+    window = Window.of(query)
+    at = collected if collected.tzinfo else collected.replace(tzinfo=timezone.utc)
+    second = at.astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S")
+    first, last = window.seconds()
+    return window if window and not first <= second <= last else None
+
+
+def literals(query: Query, inp: LogInput) -> list[str]:
+    """Texts that a matching raw JSON line contains, unless it has a backslash."""
+    found = [c.literal() for c in query.required] if inp.framing.codec == "json" else []
+    return [text for text in found if text is not None]
 
 
 def line_condition(query: Query, inp: LogInput, collected: datetime) -> Column | None:
-    """The raw-line condition of a query, or None. A line whose time cannot be read takes the
-    collection time, so the window is used only where it does not hold that time."""
-    value, kept = F.col("value"), None
-    window = window_of(query)
-    now = second_of(collected)
-    outside = (window.since is not None and now < window.since) or (
-        window.until is not None and now > window.until
-    )
-    if window and outside:
-        codec, time = inp.framing.codec, inp.time
-        if codec == "json" and time.pattern is None and time.field not in RESERVED:
-            kept = json_in_window(value, window, time.field or "timestamp")
-        elif codec == "plain" and time.automatic:
-            kept = text_in_window(value, window)
-    for term in literal_terms(query, inp):
-        has = F.contains(value, F.lit(term)) | F.contains(value, F.lit("\\"))
-        kept = has if kept is None else kept & has
-    return kept
+    """The raw-line condition of a query, or None."""
+    value, kept = F.col("value"), []
+    window = needed_window(query, collected)
+    if window is not None and inp.framing.codec == "plain" and inp.time.automatic:
+        kept.append(text_in_window(value, window))
+    own_field = inp.time.pattern is None and inp.time.field not in RESERVED
+    if window is not None and inp.framing.codec == "json" and own_field:
+        kept.append(json_in_window(value, window, inp.time.field or "timestamp"))
+    kept += [F.contains(value, F.lit(t)) | F.contains(value, F.lit("\\")) for t in literals(query, inp)]
+    return reduce(Column.__and__, kept) if kept else None
+
+
+def record_window(query: Query, inp: LogInput, collected: datetime) -> Window | None:
+    """The window that decides about multi-line records by their first lines, or None."""
+    if inp.framing.codec != "multiline" or not inp.time.automatic:
+        return None
+    return needed_window(query, collected)
