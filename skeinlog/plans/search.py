@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from skeinlog.operators.events import EVENT_ORDER, to_events
 from skeinlog.operators.framing import frame
 from skeinlog.operators.predicates import EventFields, Query, compile_query
-from skeinlog.operators.prefilter import file_condition, line_condition
+from skeinlog.operators.prefilter import file_condition, line_condition, record_window, text_in_window
 from skeinlog.operators.sinks import to_ndjson
 from skeinlog.plans.profile import LogInput, Profile
-from skeinlog.sources.inventory import assign_inputs, list_files, missing_hosts
+from skeinlog.sources.inventory import assign_inputs, input_files, list_files, missing_hosts
 from skeinlog.sources.lines import input_lines, raw_files
+from skeinlog.sources.records import cuttable, range_records, seekable
+from skeinlog.sources.samples import is_compressed
 
 
 def order_events(events: DataFrame) -> DataFrame:
@@ -78,19 +80,47 @@ def read_events(
     """All events of a scoped profile. One scan definition serves all inputs, so the files are
     listed once; with a query, files and lines that cannot match are dropped before parsing."""
     collected = collected or datetime.now(timezone.utc)
+    used = query if prefilter else None
+    can_seek = seekable(root)
     scans: dict[str, DataFrame] = {}
     parts = []
     for inp in profile.inputs:
         delimiter = inp.framing.delimiter
         if delimiter not in scans:
             scans[delimiter] = raw_files(spark, root, profile, delimiter)
-        use = query is not None and prefilter
-        keep = file_condition(query, profile, inp) if use else None
-        lines = input_lines(scans[delimiter], root, profile, inp, keep)
-        parts.append(lines_to_events(lines, profile, inp, collected, query, prefilter))
+        keep = file_condition(used, profile, inp) if used is not None else None
+        if inp.framing.codec == "multiline" and can_seek and cuttable(inp.framing):
+            records = multiline_records(spark, scans[delimiter], root, profile, inp, collected, used, keep)
+            parts.append(to_events(records, profile, inp, collected))
+        else:
+            lines = input_lines(scans[delimiter], root, profile, inp, keep)
+            parts.append(lines_to_events(lines, profile, inp, collected, query, prefilter))
     return reduce(DataFrame.unionByName, parts)
 
 
+def multiline_records(
+    spark: SparkSession, raw: DataFrame, root: str, profile: Profile, inp: LogInput, collected: datetime,
+    query: Query | None = None, keep=None,
+) -> DataFrame:
+    """The multi-line records of one input, each file read once; compressed files are decoded by the
+    text scan. With a query, records whose first line lies outside its time window are not made."""
+    window = record_window(query, inp, collected) if query is not None else None
+
+    def condition(compressed: bool):
+        def of(host, path):
+            packed = is_compressed(spark, path)
+            chosen = packed if compressed else ~packed
+            return chosen if keep is None else chosen & keep(host, path)
+
+        return of
+
+    read = range_records(input_files(spark, root, profile, inp, condition(False)), inp.framing, window)
+    decoded = frame(input_lines(raw, root, profile, inp, condition(True)), inp.framing)
+    if window is not None:
+        decoded = decoded.where(text_in_window(F.col("value"), window))
+    return read.unionByName(decoded)
+
+
 @dataclass
 class SearchResult:
     """``events`` is lazy. ``matches`` holds the count after an action on ``events``; ``files``

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.plans.profile import Profile
-from skeinlog.sources.lines import file_host, file_path, host_paths, listed_as
+from skeinlog.plans.profile import LogInput, Profile
+from skeinlog.sources.lines import file_host, file_path, host_paths, in_scope, listed_as
 
 
 def list_files(spark: SparkSession, root: str, profile: Profile) -> DataFrame:
@@ -27,6 +27,20 @@ def list_files(spark: SparkSession, root: str, profile: Profile) -> DataFrame:
     )
 
 
+def input_files(spark: SparkSession, root: str, profile: Profile, inp: LogInput, file_filter=None) -> DataFrame:
+    """host, path, length and uri of the files of one input. Only the files' own metadata are read,
+    so Spark drops the others while it lists them. ``file_filter(host, path)`` may add a condition."""
+    uri = F.col("_metadata.file_path")
+    host, path = file_host(uri, root), file_path(uri, root)
+    keep = in_scope(uri, root, inp, profile.base_dir)
+    if file_filter is not None:
+        keep = keep & file_filter(host, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(host_paths(root, profile.hosts))
+    return files.where(keep).select(
+        host.alias("host"), path.alias("path"), F.col("_metadata.file_size").alias("length"), uri.alias("uri")
+    )
+
+
 def assign_inputs(files: DataFrame, profile: Profile) -> DataFrame:
     """One row per (file, input); a file that two inputs match comes twice."""
     listings = []

@@ -93,3 +93,9 @@ def scratch(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="skeinlog-"), "run")
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
+    """Write a small result that several steps read, so that each doesn't make it anew."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
