@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +9,8 @@ from skeinlog.functions.instants import SECONDS_SHAPE, iso_text
 from skeinlog.functions.variants import as_array, as_object, bind, brackets
 from skeinlog.operators.predicates import RESERVED
 
-# Fixed value: how many example values a field shows.
-EXAMPLES = 3
+# Fixed value: records are opened so often before their depth is measured.
+_SHALLOW = 4
 
 _LEAVES = "array<struct<field:string,v:variant,kind:string>>"
 
@@ -88,14 +84,21 @@ def body_leaves(body: Column, max_depth: int | None, reserved: tuple[str, ...] =
         F.map_entries(F.map_filter(as_object(body), lambda k, _: ~k.isin(*reserved, ""))),
         lambda e: _leaf(e["key"], e["value"]),
     ).cast(_LEAVES)
-    return F.aggregate(
-        F.sequence(F.lit(1), brackets(body) if max_depth is None else F.lit(max_depth)),
-        F.struct(top.alias("leaves"), F.lit(True).alias("more")),
-        lambda acc, _: F.when(
-            acc["more"], state(_one_down(acc["leaves"]).cast(_LEAVES))
-        ).otherwise(acc),
-        lambda acc: acc["leaves"],
-    )
+
+    def down(acc: Column, _: Column) -> Column:
+        return F.when(acc["more"], state(_one_down(acc["leaves"]).cast(_LEAVES))).otherwise(acc)
+
+    steps = _SHALLOW if max_depth is None else max_depth
+    reached = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), state(top), down)
+    if max_depth is not None:
+        return reached["leaves"]
+
+    def rest(acc: Column) -> Column:
+        # Only a deep record has its brackets counted: no nesting goes deeper.
+        return F.aggregate(F.sequence(F.lit(1), brackets(body)), acc, down, lambda end: end["leaves"])
+
+    # A one-element array, so that the first steps are made once.
+    return F.flatten(F.transform(F.array(reached), lambda acc: F.when(acc["more"], rest(acc)).otherwise(acc["leaves"])))
 
 
 def family(value: Column, kind: Column) -> Column:
@@ -148,10 +151,15 @@ def leaves(events: DataFrame, max_depth: int | None = None) -> DataFrame:
     )
 
 
-def count_fields(leaf_rows: DataFrame) -> DataFrame:
+def count_fields(entries: DataFrame) -> DataFrame:
     """The catalog: ``field, family, dataset, host, n, docs``. ``n`` counts values, ``docs``
-    counts a field's events at the family its first value has. Partial sums shrink the rows to
-    the number of fields before the shuffle."""
+    counts a field's events at the family its first value has. See ``operators.summary``."""
+    return entries.select("field", "family", "dataset", "host", "n", "docs")
+
+
+def count_leaves(leaf_rows: DataFrame) -> DataFrame:
+    """The catalog from a row for each value. Partial sums shrink the rows to the number of fields
+    before the shuffle."""
     return leaf_rows.groupBy("field", "family", "dataset", "host").agg(
         F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("docs")
     )
@@ -205,68 +213,30 @@ def host_drift(catalog: DataFrame, sampled_hosts: DataFrame | None = None) -> Da
     return seen.where(F.col("n_hosts") < total.scalar()).select("field", "hosts")
 
 
-# ---------------------------------------------------------------- examples
-
-_EXAMPLE_ROW = "field string, json string"
-
-
-def _smallest_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The few smallest distinct values of each field among a task's rows, on whole batches."""
-    kept = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if kept is not None:
-            table = pa.concat_tables([kept, table])
-        table = table.group_by(["field", "json"]).aggregate([])
-        table = table.sort_by([("field", "ascending"), ("json", "ascending")])
-        field = table.column("field").combine_chunks()
-        # A row is kept unless the row EXAMPLES places before has the same field.
-        behind = max(len(field) - EXAMPLES, 0)
-        same = pc.equal(field.slice(EXAMPLES), field.slice(0, behind))
-        head = pa.array([True] * min(EXAMPLES, len(field)))
-        kept = table.filter(pa.concat_arrays([head, pc.invert(same)]))
-    if kept is not None:
-        yield from kept.to_batches()
-
-
-def examples(leaf_rows: DataFrame) -> DataFrame:
-    """``field, examples``: the three smallest distinct values as JSON texts. Each task keeps
-    three per field, so the shuffle does not grow with the number of values; a field's values are
-    then merged in hash groups first, and those groups in the end."""
-    local = leaf_rows.select("field", "json").mapInArrow(_smallest_values, _EXAMPLE_ROW)
-    least = F.slice(F.array_sort(F.collect_set("json")), 1, EXAMPLES)
-    groups = local.groupBy("field", F.pmod(F.xxhash64("json"), F.lit(64)).alias("_group")).agg(
-        least.alias("some")
-    )
-    return groups.groupBy("field").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, EXAMPLES).alias("examples")
-    )
-
-
 # ---------------------------------------------------------------- report
 
 
-def field_caps(
-    catalog: DataFrame, example_rows: DataFrame, sampled_hosts: DataFrame | None = None
-) -> DataFrame:
-    """One row with column ``value``: the field-capabilities report as JSON. A family lists its
-    datasets unless the field has one family and that is present in every dataset."""
-    datasets = docs_per_dataset(catalog).agg(
-        F.array_sort(F.collect_list("dataset")).alias("datasets"),
-        F.sum("dataset_docs").alias("docs"),
-    )
-    types = field_types(catalog).groupBy("field").agg(
-        F.array_sort(F.collect_list(F.struct("family", "datasets"))).alias("families")
-    )
-    hosts = catalog.select("host")
-    if sampled_hosts is not None:
-        hosts = hosts.unionByName(sampled_hosts.select("host"))
-    host_row = hosts.agg(F.array_sort(F.collect_set("host")).alias("hosts"))
+def field_table(catalog: DataFrame, example_rows: DataFrame, sampled_hosts: DataFrame | None = None) -> DataFrame:
+    """The report as a row for each field: ``field, families, coverage, doc_coverage, examples, drifts``.
+    A family has its datasets unless the field has one family and that is in every dataset."""
+    types = field_types(catalog).select("field", F.struct("family", "datasets").alias("f"))
+    types = types.groupBy("field").agg(F.array_sort(F.collect_list("f")).alias("families"))  # six at most
     drift = host_drift(catalog, sampled_hosts).select("field", F.lit(True).alias("drifts"))
+    uniform = (F.size("families") == 1) & (F.col("families")[0]["datasets"] == _datasets(catalog).scalar())
+    types = types.withColumn("uniform", uniform)
+    named = F.transform("families", lambda f: F.struct(f["family"], F.when(~F.col("uniform"), f["datasets"]).alias("datasets")))
+    rows = types.join(coverage(catalog), "field").join(example_rows, "field", "left").join(drift, "field", "left")
+    return rows.select(
+        "field", named.alias("families"), "coverage", "doc_coverage", "examples", F.coalesce("drifts", F.lit(False)).alias("drifts")
+    )
+
+
+def _datasets(catalog: DataFrame) -> DataFrame:
+    return docs_per_dataset(catalog).agg(F.array_sort(F.collect_list("dataset")).alias("datasets"))
+
 
-    all_datasets = datasets.select("datasets").scalar()
-    uniform = (F.size("families") == 1) & (F.col("families")[0]["datasets"] == all_datasets)
-    capability = F.map_from_entries(
+def _capabilities() -> Column:
+    return F.map_from_entries(
         F.transform(
             "families",
             lambda f: F.struct(
@@ -275,25 +245,37 @@ def field_caps(
                     F.lit(False).alias("metadata_field"),
                     F.lit(True).alias("searchable"),
                     F.lit(False).alias("aggregatable"),
-                    F.when(~F.col("uniform"), f["datasets"]).alias("indices"),
+                    f["datasets"].alias("indices"),
                 ),
             ),
         )
     )
-    rows = (
-        types.withColumn("uniform", uniform)
-        .join(coverage(catalog), "field")
-        .join(example_rows, "field", "left")
-        .join(drift, "field", "left")
-        .select(
-            "field",
-            capability.alias("caps"),
-            "coverage",
-            "doc_coverage",
-            "examples",
-            F.coalesce("drifts", F.lit(False)).alias("drifts"),
-        )
+
+
+def _values(texts: Column) -> Column:
+    return F.transform(texts, lambda text: F.parse_json(text))
+
+
+def field_lines(table: DataFrame) -> DataFrame:
+    """The report as a JSON line for each field, by name, however many fields there are."""
+    line = F.struct(
+        "field", _capabilities().alias("capabilities"), "coverage", "doc_coverage",
+        _values(F.col("examples")).alias("examples"), F.col("drifts").alias("host_conflict"),
     )
+    return table.orderBy("field").select(F.to_json(line).alias("value"))
+
+
+def field_caps(
+    catalog: DataFrame, example_rows: DataFrame, sampled_hosts: DataFrame | None = None
+) -> DataFrame:
+    """One row with column ``value``: the field-capabilities report as one JSON object, which is made in
+    one task. :func:`field_lines` has the same for any number of fields."""
+    hosts = catalog.select("host")
+    if sampled_hosts is not None:
+        hosts = hosts.unionByName(sampled_hosts.select("host"))
+    host_row = hosts.agg(F.array_sort(F.collect_set("host")).alias("hosts"))
+    docs = docs_per_dataset(catalog).agg(F.sum("dataset_docs").alias("docs"))
+    rows = field_table(catalog, example_rows, sampled_hosts).withColumn("caps", _capabilities())
 
     def by_field(column: str) -> Column:
         pairs = F.collect_list(F.struct("field", column))
@@ -301,8 +283,7 @@ def field_caps(
         return F.map_from_entries(F.array_sort(pairs, in_order))
 
     shown = F.transform(
-        F.array_sort(F.collect_list(F.struct("field", "examples"))),
-        lambda e: F.struct(e["field"], F.transform(e["examples"], lambda j: F.parse_json(j))),
+        F.array_sort(F.collect_list(F.struct("field", "examples"))), lambda e: F.struct(e["field"], _values(e["examples"]))
     )
     report = rows.agg(
         by_field("caps").alias("fields"),
@@ -314,10 +295,10 @@ def field_caps(
     return report.select(
         F.to_json(
             F.struct(
-                all_datasets.alias("indices"),
+                _datasets(catalog).scalar().alias("indices"),
                 "fields",
                 F.struct(
-                    datasets.select("docs").scalar().alias("docs_sampled"),
+                    docs.scalar().alias("docs_sampled"),
                     host_row.scalar().alias("hosts"),
                     "coverage",
                     "doc_coverage",

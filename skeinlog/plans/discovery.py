@@ -10,9 +10,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.operators.catalog import count_fields, examples, field_caps, leaves
+from skeinlog.operators.catalog import field_caps
 from skeinlog.operators.events import to_events
 from skeinlog.operators.framing import RECORD_COLUMNS, frame, local_records
+from skeinlog.operators.summary import examples, summarize
 from skeinlog.plans.profile import Framing, Profile
 from skeinlog.plans.search import read_events
 from skeinlog.sources.inventory import assign_inputs, list_files, missing_hosts
@@ -63,10 +64,9 @@ def discover_fields(
             for lines in (sample_lines(plain, sample), scanned_sample(spark, root, scoped, inp, sample)):
                 parts.append(to_events(sampled_records(lines, inp.framing), scoped, inp, collected))
         events = reduce(DataFrame.unionByName, parts)
-    rows = leaves(events, max_depth)
-    # A few rows per field, read by every part of the report; without this each part would read
-    # and parse the logs again.
-    catalog = count_fields(rows).persist()
+    # A few rows for each field, read by every part of the report; without this each part would
+    # read and parse the logs again.
+    catalog = summarize(events, max_depth).persist()
     reached = files.select("host").distinct()
-    report = field_caps(catalog, examples(rows), reached)
+    report = field_caps(catalog, examples(catalog), reached)
     return Discovery(report, catalog, missing_hosts(files, scoped))

@@ -4,6 +4,9 @@ from datetime import datetime, timezone
 import pytest
 
 from skeinlog.operators import catalog as C
+from skeinlog.operators import summary as S
+from skeinlog.operators.events import to_events
+from skeinlog.operators.framing import frame_json
 from skeinlog.plans.discovery import discover_fields
 from skeinlog.plans.profile import profile_from_dict
 
@@ -71,9 +74,9 @@ def test_depth_is_never_cut_silently(bodies):
 
 
 def test_examples_are_the_smallest_distinct_values(spark):
-    rows = [("f", f'"{i % 50:03d}"') for i in range(2000)] + [("g", "1"), ("g", "1")]
-    frame = spark.createDataFrame(rows, "field string, json string").repartition(7)
-    got = {r.field: r.examples for r in C.examples(frame).collect()}
+    rows = [("f", [f'"{i % 50:03d}"']) for i in range(2000)] + [("g", ["1"]), ("g", ["1"])]
+    frame = spark.createDataFrame(rows, "field string, smallest array<string>").repartition(7)
+    got = {r.field: r.examples for r in S.examples(frame).collect()}
     assert got == {"f": ['"000"', '"001"', '"002"'], "g": ["1"]}
 
 
@@ -108,3 +111,45 @@ def test_a_sample_decodes_compressed_files(spark, tmp_path):
     assert {f for t, f in counts if t == "a" and f[1:] in ("0", "1")} == {"x1", "y1"}
     assert counts["a", "x1"].n == counts["a", "y1"].n == 3
     assert counts["b", "message"].n == 1  # the record before it lost its first line to the sample
+
+
+ODD = [
+    {"n": 5.0, "m": 1e3, "big": 1 << 70, "edge": (1 << 63) - 1, "neg": -(1 << 63), "f": [1, 2.5, "2026-07-23T00:00:00Z", None, [True, []]]},
+    {"a.b": "x", "a": {"b": 1, "": "empty"}, "": "no name", "host": "reserved", "t": "tab\t and \"quotes\" é"},
+    {"o": [{"k": 1}, {"k": "s", "l": [[{"m": 1}], {"m": 2}]}], "nul": None, "e": {}, "el": [], "d": "2026-07-23 01:02:03"},
+    {"s": "a", "n": 7}, {"s": "a b", "n": 7}, {"s": "ab"}, {"s": ""},
+]
+
+
+def test_one_pass_equals_the_leaves(lines_of):
+    lines = lines_of([*map(json.dumps, ODD), "no json", '{"dup": 1, "dup": "2"}', '{"half": "\\ud800"}', "2026-07-23T00:00:01,5Z text"])
+    inp = PROFILE.inputs[0]
+    events = to_events(frame_json(lines), PROFILE, inp, NOW)
+    for limit in (S.MAX_ENTRIES, 3):
+        S.MAX_ENTRIES, before = limit, S.MAX_ENTRIES
+        entries = S.summarize(events)
+        rows = C.leaves(events)
+        got = sorted(tuple(r) for r in C.count_fields(entries).collect())
+        assert got == sorted(tuple(r) for r in C.count_leaves(rows).select("field", "family", "dataset", "host", "n", "docs").collect())
+        S.MAX_ENTRIES = before
+    smallest = {}
+    for r in rows.select("field", "json").distinct().collect():
+        smallest.setdefault(r.field, set()).add(r.json)
+    shown = {r.field: r.examples for r in S.examples(entries).collect()}
+    numbers = {"n", "m", "big", "f"}  # shown as they are written, where a parsed value has one form
+    assert {f: v for f, v in shown.items() if f not in numbers} == {f: sorted(v)[:3] for f, v in smallest.items() if f not in numbers}
+    assert shown["n"] == ["5.0", "7"] and shown["s"] == ['""', '"a b"', '"a"']
+
+
+def test_a_depth_limit_is_an_error(lines_of):
+    events = to_events(frame_json(lines_of(['{"a":{"b":{"c":1}}}'])), PROFILE, PROFILE.inputs[0], NOW)
+    assert S.summarize(events, 3).where("field = 'a.b.c'").count() == 1
+    with pytest.raises(Exception, match="max_depth"):
+        S.summarize(events, 1).collect()
+
+
+def test_report_lines(found):
+    rows = [json.loads(r.value) for r in C.field_lines(C.field_table(found.catalog, S.examples(found.catalog))).collect()]
+    assert [r["field"] for r in rows] == sorted(r["field"] for r in rows)
+    [n] = [r for r in rows if r["field"] == "n"]
+    assert set(n["capabilities"]) == {"long", "keyword"} and n["capabilities"]["long"]["indices"] == ["a"] and not n["host_conflict"]
