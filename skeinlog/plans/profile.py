@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Any
+from functools import partial
+from typing import Any, NoReturn
 
 from skeinlog.functions.instants import java_date_pattern
 from skeinlog.functions.patterns import grok_regex, java_regex
@@ -114,126 +116,184 @@ def field_refs(text: str) -> list[str]:
     return re.findall(r"\[(\w+)\]", text)
 
 
-def _need(spec: Any, key: str, kind: type | tuple[type, ...], where: str) -> Any:
-    if not isinstance(spec, dict):
-        raise ProfileError(f"{where}: a mapping is needed")
-    if not isinstance(spec.get(key), kind):
-        raise ProfileError(f"{where}: {key!r} is missing or of the wrong type")
-    return spec[key]
-
-
-def _texts(value: Any, where: str) -> tuple[str, ...]:
-    items = [value] if isinstance(value, str) else value
-    if not isinstance(items, list) or not all(isinstance(i, str) for i in items):
-        raise ProfileError(f"{where}: a text or a list of texts is needed")
-    return tuple(items)
-
-
-def _one_of(value: Any, allowed: tuple[str, ...], where: str) -> str:
-    if value not in allowed:
-        raise ProfileError(f"{where}: {value!r} is none of {', '.join(allowed)}")
-    return value
-
-
-def _framing(spec: Any, where: str) -> Framing:
-    if isinstance(spec, str):
-        spec = {spec: {}}
-    if not isinstance(spec, dict) or len(spec) != 1:
-        raise ProfileError(f"{where}: codec is a name or a mapping with one name")
-    [(codec, options)] = spec.items()
-    _one_of(codec, CODECS, f"{where} codec")
-    options = options or {}
-    if not isinstance(options, dict):
-        raise ProfileError(f"{where}: codec options must be a mapping")
-    made = Framing(codec=codec, delimiter=options.get("delimiter", "\n"))
-    if codec == "multiline":
-        pattern = _need(options, "pattern", str, f"{where} multiline")
-        java_regex(pattern)  # a broken pattern is an error now, not in a task
-        made = Framing(
-            codec,
-            made.delimiter,
-            pattern,
-            bool(options.get("negate", False)),
-            _one_of(options.get("what", "previous"), JOINS, f"{where} what"),
-        )
-    if not isinstance(made.delimiter, str) or not made.delimiter:
-        raise ProfileError(f"{where}: delimiter must be a text")
-    return made
+# ---------------------------------------------------------------- reading job descriptions
+
+# A reader takes a loaded value and the name of its place and returns what it stands for. Small
+# readers are put together to those of whole mappings.
+Reader = Callable[[Any, str], Any]
+
+
+@dataclass(frozen=True)
+class Option:
+    """One key of a mapping. Without it, or with null, ``default`` is read instead; a key without a
+    default has to be there."""
+
+    reader: Reader
+    default: Any = None
+    needed: bool = False
+
+
+def fail(place: str, problem: str) -> NoReturn:
+    raise ProfileError(f"{place}: {problem}")
+
+
+def text(value: Any, place: str) -> str:
+    return value if isinstance(value, str) and value else fail(place, f"a text is needed, not {value!r}")
+
+
+def switch(value: Any, place: str) -> bool:
+    return bool(value)
+
+
+def word(*allowed: str) -> Reader:
+    return lambda value, place: value if value in allowed else fail(place, f"{value!r} is none of {', '.join(allowed)}")
+
+
+def fits(reader: Reader, test: Callable[[Any], Any], problem: str = "") -> Reader:
+    """The reader, for values that pass the test: one that returns false or raises ValueError fails."""
+
+    def read(value: Any, place: str) -> Any:
+        found = reader(value, place)
+        try:
+            passed = test(found)
+        except (ValueError, re.error) as error:
+            fail(place, f"{found!r}: {error}")
+        return found if passed else fail(place, f"{problem}: {found!r}")
+
+    return read
+
+
+def each(reader: Reader, single: bool = False) -> Reader:
+    """A list; with ``single`` one value may stand for a list of it."""
+
+    def read(value: Any, place: str) -> tuple:
+        items = [value] if single and isinstance(value, str) else value
+        if not isinstance(items, list):
+            fail(place, "a list is needed")
+        return tuple(reader(item, f"{place}[{i}]") for i, item in enumerate(items))
 
+    return read
 
-def _event_time(spec: Any, where: str) -> EventTime:
-    if spec is None:
-        return EventTime()
-    if not isinstance(spec, dict) or not set(spec) <= {"field", "pattern", "format"}:
-        raise ProfileError(f"{where}: timestamp takes only field, or pattern with format")
-    if not all(v is None or isinstance(v, str) for v in spec.values()):
-        raise ProfileError(f"{where}: timestamp options must be texts")
-    time = EventTime(**spec)
-    by_text = [time.pattern is not None, time.format is not None]
-    if any(by_text) != all(by_text):
-        raise ProfileError(f"{where}: timestamp pattern and format belong together")
-    if time.field is not None and any(by_text):
-        raise ProfileError(f"{where}: timestamp is either a field or a pattern with format")
-    if time.format is not None:
-        java_regex(time.pattern)
-        java_date_pattern(time.format)
-    return time
-
-
-def _input(spec: Any, where: str) -> LogInput:
-    type_ = _need(spec, "type", str, where)
-    where = f"{where} {type_!r}"
-    path = _texts(_need(spec, "path", (str, list), where), f"{where} path")
+
+def entries(key: Reader, value: Reader) -> Reader:
+    """A mapping of any keys, as pairs."""
+
+    def read(spec: Any, place: str) -> tuple:
+        return tuple((key(k, place), value(v, f"{place}.{k}")) for k, v in _keys(spec, place).items())
+
+    return read
+
+
+def record(make: Callable, options: dict[str, Option], closed: bool = False) -> Reader:
+    """A mapping of known keys, given to ``make`` by name. Other keys are an error if ``closed``."""
+
+    def read(spec: Any, place: str) -> Any:
+        given = _keys(spec, place)
+        unknown = [str(k) for k in given if k not in options]
+        if closed and unknown:
+            fail(place, f"unknown: {', '.join(unknown)}; there are {', '.join(options)}")
+        found = {}
+        for key, option in options.items():
+            value = given.get(key)
+            if value is None and option.needed:
+                fail(place, f"{key} is missing")
+            value = option.default if value is None else value
+            found[key] = None if value is None else option.reader(value, f"{place}.{key}")
+        try:
+            return make(**found)
+        except (ValueError, re.error) as error:
+            return fail(place, str(error))
+
+    return read
+
+
+def either(test: Callable[[Any], bool], first: Reader, second: Reader) -> Reader:
+    return lambda value, place: (first if test(value) else second)(value, place)
+
+
+def _keys(spec: Any, place: str) -> dict:
+    return spec if isinstance(spec, dict) else fail(place, "a mapping is needed")
+
+
+def _is_text(value: Any) -> bool:
+    return isinstance(value, str)
+
+
+def _time(field: str | None, pattern: str | None, format: str | None) -> EventTime:
+    if (pattern is None) != (format is None):
+        raise ValueError("pattern and format belong together")
+    if field is not None and pattern is not None:
+        raise ValueError("the time is either a field or a pattern with format")
+    return EventTime(field, pattern, format)
+
+
+def _input(codec: Framing, timestamp: EventTime | None, path: tuple[str, ...], **rest: Any) -> LogInput:
     if not path:
-        raise ProfileError(f"{where}: at least one path glob is needed")
-    for glob in path:
-        if not _FILE_GLOB.fullmatch(glob):
-            raise ProfileError(f"{where}: path glob has characters that are not allowed: {glob!r}")
-    return LogInput(
-        type=type_,
-        path=path,
-        exclude=_texts(spec.get("exclude", []), f"{where} exclude"),
-        framing=_framing(spec.get("codec", "plain"), where),
-        tags=_texts(spec.get("tags", []), f"{where} tags"),
-        time=_event_time(spec.get("timestamp"), where),
-        start_position=_one_of(spec.get("start_position", "end"), STARTS, f"{where} start_position"),
-    )
-
-
-def _label_filter(spec: Any, where: str) -> LabelFilter:
-    if not isinstance(spec, dict):
-        raise ProfileError(f"{where}: a mapping is needed")
-    grok = {} if spec.get("grok") is None else spec["grok"]
-    if not isinstance(grok, dict) or not all(isinstance(p, str) for p in grok.values()):
-        raise ProfileError(f"{where}: grok maps a source to a pattern")
-    made = LabelFilter(tuple(grok.items()), spec.get("if"))
+        raise ValueError("at least one path glob is needed")
+    return LogInput(path=path, framing=codec, time=timestamp or EventTime(), **rest)
+
+
+def _filter(grok: tuple[tuple[str, str], ...], **rest: Any) -> LabelFilter:
+    made = LabelFilter(grok, rest["if"])
     made.condition_parts()
-    for pattern in grok.values():
-        grok_regex(pattern)
     return made
 
 
+# A broken expression is an error here, not in a task.
+_REGEX = fits(text, lambda p: java_regex(p) is not None)
+_GROK = fits(text, lambda p: grok_regex(p) is not None)
+_FORMAT = fits(text, lambda f: java_date_pattern(f) is not None)
+_GLOB = fits(text, _FILE_GLOB.fullmatch, "a path glob has characters that are not allowed")
+_HOST_NAME = fits(text, re.compile(r"[A-Za-z0-9._:-]+").fullmatch, "not a host name")
+
+_DELIMITER = {"delimiter": Option(text, "\n")}
+_JOIN = {"pattern": Option(_REGEX, needed=True), "negate": Option(switch, False), "what": Option(word(*JOINS), "previous")}
+_CODEC = {
+    name: record(partial(Framing, name), _DELIMITER | (_JOIN if name == "multiline" else {})) for name in CODECS
+}
+
+
+def _codec(spec: Any, place: str) -> Framing:
+    """A codec by name, or as a mapping of the name to its options."""
+    named = {spec: {}} if isinstance(spec, str) else _keys(spec, place)
+    if len(named) != 1:
+        fail(place, "exactly one codec is needed")
+    [(name, options)] = named.items()
+    return _CODEC[word(*CODECS)(name, place)](options or {}, f"{place}.{name}")
+
+
+_TIME = record(_time, {"field": Option(text), "pattern": Option(_REGEX), "format": Option(_FORMAT)}, closed=True)
+_INPUT = record(
+    _input,
+    {
+        "type": Option(text, needed=True),
+        "path": Option(each(_GLOB, single=True), needed=True),
+        "exclude": Option(each(text, single=True), []),
+        "codec": Option(_codec, "plain"),
+        "tags": Option(each(text, single=True), []),
+        "timestamp": Option(_TIME),
+        "start_position": Option(word(*STARTS), "end"),
+    },
+)
+_FILTER = record(_filter, {"grok": Option(entries(text, _GROK), {}), "if": Option(text)})
+# A host is a name or a mapping; how to log in to it is no concern of these jobs.
+_HOST = either(_is_text, _HOST_NAME, record(lambda host: host, {"host": Option(_HOST_NAME, needed=True)}))
+_PROFILE = {
+    "hosts": Option(each(_HOST), needed=True),
+    "inputs": Option(each(_INPUT), needed=True),
+    "base_dir": Option(lambda value, place: text(value or ".", place), "."),
+    "filters": Option(each(_FILTER), []),
+}
+
+
 def profile_from_dict(name: str, spec: dict[str, Any]) -> Profile:
-    """Check a loaded profile mapping and build the job description. Hosts are names or
-    mappings with a ``host`` key; how to log in to them is no concern of these jobs."""
-    where = f"profile {name!r}"
-    hosts = []
-    for item in _need(spec, "hosts", list, where):
-        host = item if isinstance(item, str) else _need(item, "host", str, f"{where} host")
-        if not re.fullmatch(r"[A-Za-z0-9._:-]+", host):
-            raise ProfileError(f"{where}: not a host name: {host!r}")
-        hosts.append(host)
-    base_dir = spec.get("base_dir") or "."
-    if not isinstance(base_dir, str):
-        raise ProfileError(f"{where}: base_dir must be a text")
-    inputs = [_input(i, f"{where} input") for i in _need(spec, "inputs", list, where)]
-    filters = [_label_filter(f, f"{where} filter") for f in spec.get("filters") or []]
-    return Profile(name, tuple(hosts), tuple(inputs), base_dir, tuple(filters))
+    """Check a loaded profile mapping and build the job description."""
+    return record(partial(Profile, name), _PROFILE)(spec, f"profile {name!r}")
 
 
 def profiles_from_dict(config: dict[str, Any]) -> dict[str, Profile]:
     """All profiles of a loaded configuration, by name."""
-    found = _need(config, "profiles", dict, "configuration")
+    [found] = record(lambda profiles: [profiles], {"profiles": Option(_keys, needed=True)})(config, "configuration")
     if not found:
-        raise ProfileError("configuration: no profiles")
+        fail("configuration", "no profiles")
     return {name: profile_from_dict(name, spec) for name, spec in found.items()}
