@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.functions.instants import iso_text
-from skeinlog.operators import catalog, framing, sinks
+from skeinlog import __version__
+from skeinlog.operators import catalog, framing, sinks, summary
 from skeinlog.operators.demux import demux
 from skeinlog.operators.events import to_events
 from skeinlog.operators.predicates import BodyFields, compile_query, predicate
@@ -29,8 +30,10 @@ from skeinlog.plans.search import (
 )
 from skeinlog.session import prepare
 from skeinlog.sources import tables
-from skeinlog.sources.inventory import discover, missing_hosts
+from skeinlog.sources.tables import save
+from skeinlog.sources.inventory import discover, input_files, missing_hosts
 from skeinlog.sources.lines import last_lines
+from skeinlog.sources.records import range_records
 from skeinlog.streaming.tail import open_records, tail, write_stream
 
 COLLECTED = datetime(2025, 6, 1, tzinfo=timezone.utc)
@@ -614,11 +617,57 @@ def window_text_lines(spark, sf_dir):
     stamped = lines.withColumn(
         "value", F.when(F.col("mid") % 5 == 2, F.concat(time, "value")).otherwise(F.col("value"))
     )
-    kept = lines_in_window(stamped, Window("2026-01-01T01:00:00", "2026-01-01T10:00:00"))
+    kept = lines_in_window(stamped, Window(*(datetime(2026, 1, 1, hour, tzinfo=timezone.utc) for hour in (1, 10))))
     text = F.when(F.col("mid") % 5 == 2, F.substr("value", F.lit(26))).otherwise(F.col("value"))
     return kept.select(tables.doc_id().alias("doc_id"), "mid", text.alias("value"))
 
 
+_LONG = "a.b.c.d.e.f.it's.h"
+_STOPS_SQL = "event_id % 4 <> 3"
+
+
+def _long_record():
+    """A name of eight segments in four layouts; in the last one its longest key leads nowhere."""
+    value = F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))
+    nested = F.concat(F.lit('{"b":{"c":{"d":{"e":{"f":{"it\'s":{"h":'), value, F.lit("}}}}}}}"))
+    layout = (
+        F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('"a":'), nested))
+        .when(F.col("event_id") % 4 == 1, F.concat(F.lit('"a.b":{"c.d":[1,{"e.f":{"it\'s.h":'), value, F.lit("}}]}")))
+        .when(F.col("event_id") % 4 == 2, F.concat(F.lit(f'"{_LONG}":'), value, F.lit(',"a":{"b":"other"}')))
+        .otherwise(F.concat(F.lit('"a.b":{"c":"stops"},"a":'), nested))
+    )
+    return F.concat(F.lit('{"timestamp":"'), tables.utc_text(F.col("ts")), F.lit('","event_id":'), F.col("event_id"), F.lit(","), layout, F.lit("}"))
+
+
+def _search_lines(spark, sf_dir, record, filter_) -> DataFrame:
+    lines = tables.as_lines(tables.event_rows(spark, sf_dir), record, "event_id")
+    events = to_events(framing.frame_json(lines), PROFILE, PROFILE.inputs[0], COLLECTED)
+    return _shown(search_events(events, filter_))
+
+
+@query(_shown_sql(f"event_type in ('error', 'view') and {_STOPS_SQL}"))
+def search_long_path(spark, sf_dir):
+    either = [{"term": {_LONG: "error"}}, {"prefix": {_LONG: "vi"}}]
+    return _search_lines(spark, sf_dir, _long_record(), {"bool": {"should": either}})
+
+
+@query(_shown_sql(f"event_id % 4 = 3"))
+def search_long_path_missing(spark, sf_dir):
+    return _search_lines(spark, sf_dir, _long_record(), {"bool": {"must_not": {"exists": {"field": _LONG}}}})
+
+
+@query(_shown_sql(f"event_type = 'error' or {_K} >= 90"))
+def search_deep_lists(spark, sf_dir):
+    """Values six lists deep, also in lists of objects."""
+    record = F.concat(
+        F.lit('{"timestamp":"'), tables.utc_text(F.col("ts")), F.lit('","event_id":'), F.col("event_id"),
+        F.lit(',"n":[[],[[["["],[[["'), F.col("event_type"), F.lit('"]]]]],"x"],"o":[[{"p":[[{"k":[[[[[['), F.coalesce("k", F.lit("null")),
+        F.lit("]]]]]]}]]}]]}"),
+    )
+    either = [{"term": {"n": "error"}}, {"range": {"o.p.k": {"gte": 90}}}]
+    return _search_lines(spark, sf_dir, record, {"bool": {"should": either}})
+
+
 # ---------------------------------------------------------------- enrichment
 
 
@@ -757,18 +806,32 @@ def grok_conditional(spark, sf_dir):
 
 # ---------------------------------------------------------------- field discovery
 
-# One event as (field, family, value) rows, the way the records are written.
+# One event as the line that is its record, and as (field, family, value) rows. Values are JSON texts
+# without the quotes around them.
+_LEAF_TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"
+_LEAF_K = "(case when user_id % 4 = 3 then null else json_extract_string(props, '$.k') end)"
+_LEAF_LINE = (
+    f"""'{{"timestamp":"' || {_LEAF_TS} || '","event_id":' || event_id || ',"user":{{"id":' || user_id || '}},"event_type":"' || event_type """
+    """|| '","tagged":{"names":["' || event_type || '","x",null]}' || """
+    f"""(case when {_LEAF_K} is null then ',"props":{{"k":null}}' when event_type = 'error' then ',"props":{{"k":' || {_LEAF_K} || '}}' """
+    f"""else ',"props":{{"k":"' || {_LEAF_K} || '"}}' end) || (case when event_id % 2 = 0 then ',"even":true}}' else '}}' end)"""
+)
 _LEAVES_SQL = (
-    "select event_id, event_type as dataset, 'h' || (user_id % 4) as host, f.field, f.family, f.v from events, "
+    "select event_id, event_type as dataset, 'h' || (user_id % 4) as host, f.field, f.family, f.v, "
+    "case when f.family in ('keyword', 'date') then '\"' || f.v || '\"' else f.v end as j from events, "
     "lateral (values "
-    "('timestamp', 'date', strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')), "
+    f"('timestamp', 'date', {_LEAF_TS}), "
     "('event_id', 'long', cast(event_id as varchar)), "
     "('user.id', 'long', cast(user_id as varchar)), "
     "('event_type', 'keyword', event_type), "
     "('tagged.names', 'keyword', event_type), ('tagged.names', 'keyword', 'x'), "
-    "('props.k', case when event_type = 'error' then 'long' else 'keyword' end, "
-    "case when user_id % 4 = 3 then null else json_extract_string(props, '$.k') end), "
-    "('even', 'boolean', case when event_id % 2 = 0 then 'true' end)"
+    f"('props.k', case when event_type = 'error' then 'long' else 'keyword' end, {_LEAF_K}), "
+    "('even', 'boolean', case when event_id % 2 = 0 then 'true' end), "
+    f"('@timestamp', 'date', {_TIME}), ('message', 'keyword', replace({_LEAF_LINE}, '\"', '\\\"')), "
+    "('event.dataset', 'keyword', event_type), ('event.created', 'date', '2025-06-01T00:00:00+00:00'), "
+    "('host.name', 'keyword', 'h' || (user_id % 4)), ('agent.type', 'keyword', 'skeinlog'), "
+    f"('agent.version', 'keyword', '{__version__}'), ('log.file.path', 'keyword', '/logs/' || event_type || '.json'), "
+    "('ecs.version', 'keyword', '8.11'), ('labels.profile', 'keyword', 'shop')"
     ") f(field, family, v) where f.v is not null"
 )
 
@@ -803,15 +866,8 @@ def _leaf_events(spark, sf_dir) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-_ENVELOPE = (
-    "@timestamp", "message", "event.dataset", "event.created", "host.name", "agent.type",
-    "agent.version", "log.file.path", "ecs.version", "labels.profile",
-)
-
-
-def _body_leaves(spark, sf_dir) -> DataFrame:
-    rows = catalog.leaves(_leaf_events(spark, sf_dir))
-    return rows.where(~F.col("field").isin(*_ENVELOPE))
+def _summary(spark, sf_dir) -> DataFrame:
+    return summary.summarize(_leaf_events(spark, sf_dir))
 
 
 @query(
@@ -819,22 +875,31 @@ def _body_leaves(spark, sf_dir) -> DataFrame:
     f"from ({_LEAVES_SQL}) group by all"
 )
 def leaves(spark, sf_dir):
-    rows = _body_leaves(spark, sf_dir)
+    rows = catalog.leaves(_leaf_events(spark, sf_dir))
     value = F.regexp_replace("json", '^"|"$', "").alias("value")
     return rows.groupBy("dataset", "host", "field", "family", value).agg(F.count("*").alias("n"))
 
 
 @query(f"select field, family, count(*) as n from ({_LEAVES_SQL}) group by all")
 def type_families(spark, sf_dir):
-    return _body_leaves(spark, sf_dir).groupBy("field", "family").agg(F.count("*").alias("n"))
+    return catalog.leaves(_leaf_events(spark, sf_dir)).groupBy("field", "family").agg(F.count("*").alias("n"))
 
 
-@query(
+_COUNTS_SQL = (
     "select field, family, dataset, host, count(*) as n, count(distinct event_id) as docs "
     f"from ({_LEAVES_SQL}) group by all"
 )
+
+
+@query(_COUNTS_SQL)
 def field_catalog(spark, sf_dir):
-    return catalog.count_fields(_body_leaves(spark, sf_dir))
+    return catalog.count_fields(_summary(spark, sf_dir))
+
+
+@query(_COUNTS_SQL)
+def field_catalog_from_leaves(spark, sf_dir):
+    """The same from a row for each value."""
+    return catalog.count_leaves(catalog.leaves(_leaf_events(spark, sf_dir)))
 
 
 @query(
@@ -842,60 +907,89 @@ def field_catalog(spark, sf_dir):
     f"string_agg(distinct host, ',' order by host) as hosts, count(*) as n from ({_LEAVES_SQL}) group by all"
 )
 def field_types(spark, sf_dir):
-    types = catalog.field_types(catalog.count_fields(_body_leaves(spark, sf_dir)))
+    types = catalog.field_types(_summary(spark, sf_dir))
     return types.select(
         "field", "family", F.array_join("datasets", ",").alias("datasets"),
         F.array_join("hosts", ",").alias("hosts"), "n",
     )
 
 
-@query(
+_COVERAGE_SQL = (
     f"with l as ({_LEAVES_SQL}), d as (select event_type as dataset, count(*) as docs from events group by all), "
     "f as (select field, dataset, count(*) as n, count(distinct event_id) as k from l group by all) "
     "select field, round(sum(n) / sum(docs), 4) as coverage, round(sum(k) / sum(docs), 4) as doc_coverage "
     "from f join d using (dataset) group by all"
 )
+_EXAMPLES_SQL = (
+    "select field, string_agg(j, ',' order by j) as examples from (select field, j, "
+    f"row_number() over (partition by field order by j) as r from (select distinct field, j from ({_LEAVES_SQL}))) "
+    "where r <= 3 group by all"
+)
+_DRIFT_SQL = (
+    "select field, string_agg(distinct host, ',' order by host) as hosts "
+    f"from ({_LEAVES_SQL}) group by all having count(distinct host) < (select count(distinct user_id % 4) from events)"
+)
+
+
+@query(_COVERAGE_SQL)
 def field_coverage(spark, sf_dir):
-    rows = catalog.coverage(catalog.count_fields(catalog.leaves(_leaf_events(spark, sf_dir))))
-    return rows.where(~F.col("field").isin(*_ENVELOPE))
+    return catalog.coverage(_summary(spark, sf_dir))
 
 
-@query(
-    "select field, string_agg(v, ',' order by v) as examples from (select field, v, "
-    f"row_number() over (partition by field order by v) as r from (select distinct field, v from ({_LEAVES_SQL}) "
-    "where field <> 'props.k')) where r <= 3 group by all"
-)
+@query(_EXAMPLES_SQL)
 def field_examples(spark, sf_dir):
-    # Leaves sort by their JSON text; a field with numbers and texts would sort the texts first.
-    rows = _body_leaves(spark, sf_dir).where("field <> 'props.k'")
-    shown = F.regexp_replace(F.array_join("examples", ","), '"', "")
-    return catalog.examples(rows).select("field", shown.alias("examples"))
+    return summary.examples(_summary(spark, sf_dir)).select("field", F.array_join("examples", ",").alias("examples"))
 
 
-@query(
-    "select field, string_agg(distinct host, ',' order by host) as hosts "
-    f"from ({_LEAVES_SQL}) group by all having count(distinct host) < (select count(distinct user_id % 4) from events)"
-)
+@query(_DRIFT_SQL)
 def field_host_drift(spark, sf_dir):
-    drift = catalog.host_drift(catalog.count_fields(catalog.leaves(_leaf_events(spark, sf_dir))))
+    drift = catalog.host_drift(_summary(spark, sf_dir))
     return drift.select("field", F.array_join("hosts", ",").alias("hosts"))
 
 
-@query(
+_INDICES_SQL = (
     f"with l as ({_LEAVES_SQL}) select field, family, case when (select count(distinct family) from l m where m.field = l.field) = 1 "
     "and count(distinct dataset) = (select count(distinct event_type) from events) then '' "
     "else string_agg(distinct dataset, ',' order by dataset) end as indices from l group by field, family"
 )
+
+
+@query(
+    f"select i.field, i.family, i.indices, true as searchable, coverage, doc_coverage, d.field is not null as conflict, "
+    f"(select count(*) from events) as docs_sampled from ({_INDICES_SQL}) i join ({_COVERAGE_SQL}) c on c.field = i.field "
+    f"left join ({_DRIFT_SQL}) d on d.field = i.field"
+)
 def field_caps(spark, sf_dir):
-    rows = catalog.leaves(_leaf_events(spark, sf_dir))
-    counts = catalog.count_fields(rows).persist()
-    report = catalog.field_caps(counts, catalog.examples(rows))
-    schema = "fields map<string, map<string, struct<searchable: boolean, indices: array<string>>>>"
-    fields = report.select(F.explode(F.from_json("value", schema)["fields"]).alias("field", "families"))
-    return (
-        fields.select("field", F.explode("families").alias("family", "caps"))
-        .where(~F.col("field").isin(*_ENVELOPE) & F.col("caps.searchable"))
-        .select("field", "family", F.coalesce(F.array_join("caps.indices", ","), F.lit("")).alias("indices"))
+    """The whole report, taken apart again; its examples are those of ``field_examples``."""
+    found = save(_summary(spark, sf_dir), tables.scratch(spark))
+    report = catalog.field_caps(found, summary.examples(found))
+    families = "map<string, struct<searchable: boolean, indices: array<string>>>"
+    schema = (
+        f"fields map<string, {families}>, sample struct<docs_sampled: long, host_conflicts: array<string>, "
+        "coverage: map<string, double>, doc_coverage: map<string, double>>"
+    )
+    rows = report.select(F.from_json("value", schema).alias("r")).select("r.sample", F.explode("r.fields").alias("field", "families"))
+    return rows.select("field", "sample", F.explode("families").alias("family", "caps")).select(
+        "field", "family", F.coalesce(F.array_join("caps.indices", ","), F.lit("")).alias("indices"), "caps.searchable",
+        F.col("sample.coverage")[F.col("field")].alias("coverage"), F.col("sample.doc_coverage")[F.col("field")].alias("doc_coverage"),
+        F.array_contains("sample.host_conflicts", F.col("field")).alias("conflict"), "sample.docs_sampled",
+    )
+
+
+@query(
+    f"select c.field, coverage, doc_coverage, examples, d.field is not null as conflict from ({_COVERAGE_SQL}) c "
+    f"join ({_EXAMPLES_SQL}) e on e.field = c.field left join ({_DRIFT_SQL}) d on d.field = c.field"
+)
+def field_report_lines(spark, sf_dir):
+    """The report as a JSON line for each field."""
+    found = save(_summary(spark, sf_dir), tables.scratch(spark))
+    lines = catalog.field_lines(catalog.field_table(found, summary.examples(found)))
+    read = lines.select(F.parse_json("value").alias("r"))
+    shown = F.transform(F.variant_get("r", "$.examples", "array<variant>"), lambda v: F.to_json(v))
+    return read.select(
+        F.variant_get("r", "$.field", "string").alias("field"), F.variant_get("r", "$.coverage", "double").alias("coverage"),
+        F.variant_get("r", "$.doc_coverage", "double").alias("doc_coverage"), F.array_join(shown, ",").alias("examples"),
+        F.variant_get("r", "$.host_conflict", "boolean").alias("conflict"),
     )
 
 
@@ -1065,6 +1159,113 @@ def search_files(spark, sf_dir):
     return _shown(search(spark, root, _FILES_PROFILE, filter_, collected=COLLECTED).events)
 
 
+_RECORD_PROFILE = profile_from_dict(
+    "shop",
+    {
+        "hosts": ["h0", "h1", "h2", "h3"],
+        "base_dir": "/logs",
+        "inputs": [
+            {"type": "events", "path": ["events/part-*"], "codec": {"multiline": {"pattern": r"^\d{4}-", "negate": True}}}
+        ],
+        "filters": [{"grok": {"message": r"#%{INT:id}\n  type %{WORD:kind}"}}],
+    },
+)
+
+
+def _write_records(spark, sf_dir, root: str) -> None:
+    """The events as text records of three lines, in files of several hosts."""
+    rows = tables.event_rows(spark, sf_dir)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss,SSSSSS'Z'")
+    text = F.concat(stamp, F.lit(" #"), "event_id", F.lit("\n  type "), "event_type", F.lit("\n  props "), "props")
+    for host in _RECORD_PROFILE.hosts:
+        rows.where(F.col("host") == host).select(text.alias("value")).write.text(f"{root}/{host}/logs/events")
+
+
+def _shown_records(events: DataFrame) -> DataFrame:
+    return events.select(
+        F.col("labels")["id"].cast("long").alias("event_id"), F.col("labels")["kind"].alias("kind"), F.col("host.name").alias("host_name"),
+        F.element_at(F.split("message", "\n"), -1).alias("last_line"), _time(),
+    )
+
+
+_RECORDS_FOUND = (
+    f"select event_id, event_type as kind, 'h' || (user_id % 4) as host_name, '  props ' || props as last_line, {_TIME} as event_time from events "
+)
+
+
+@query(_RECORDS_FOUND + "where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-09' and event_type <> 'view'")
+def search_files_multiline(spark, sf_dir):
+    """Multi-line records of files in a time window: each file is read once, and records outside the
+    window are let go by their first line."""
+    root = tables.scratch(spark)
+    _write_records(spark, sf_dir, root)
+    window = {"range": {"@timestamp": {"gte": "2024-01-05T00:00:00Z", "lt": "2024-01-09T00:00:00Z"}}}
+    filter_ = {"bool": {"filter": window, "must_not": {"term": {"labels.kind": "view"}}}}
+    return _shown_records(search(spark, root, _RECORD_PROFILE, filter_, collected=COLLECTED).events)
+
+
+@query(_RECORDS_FOUND)
+def frame_multiline_ranges(spark, sf_dir):
+    """All records of files that are cut into many small byte ranges."""
+    root = tables.scratch(spark)
+    _write_records(spark, sf_dir, root)
+    inp = _RECORD_PROFILE.inputs[0]
+    files = input_files(spark, root, _RECORD_PROFILE, inp)
+    records = range_records(files, inp.framing, range_bytes=20_000)
+    return _shown_records(to_events(records, _RECORD_PROFILE, inp, COLLECTED))
+
+
+@query(
+    "select 4 as files, (select count(*) from events where event_type = 'error' and user_id % 4 in (1, 2)) as matches, 'h9' as missing"
+)
+def search_summary(spark, sf_dir):
+    """What a search reports beside its events: the files it opens, the matches, the hosts without files."""
+    root = tables.scratch(spark)
+    rows = tables.event_rows(spark, sf_dir)
+    for host in PROFILE.hosts:
+        lines = rows.where(F.col("host") == host).select(F.to_json(tables.event_object()).alias("value"))
+        lines.repartition(2).write.text(f"{root}/{host}/logs/events")
+    filter_ = {"bool": {"filter": [{"term": {"event_type": "error"}}, {"wildcard": {"host.name": "h[12]*"}}]}}
+    found = search(spark, root, _FILES_PROFILE, filter_, collected=COLLECTED)
+    found.events.write.format("noop").mode("overwrite").save()  # the count is there after a run
+    missing = found.missing.agg(F.array_join(F.array_sort(F.collect_list("host")), ",").alias("missing"))
+    return found.files.agg(F.count("*").alias("files")).select(
+        "files", F.lit(found.matches.get["matches"]).alias("matches"), missing.scalar().alias("missing")
+    )
+
+
+@query(f"select event_id, {_TIME} as event_time, 'h' || (user_id % 4) as host_name from events")
+def ndjson_appended(spark, sf_dir):
+    """Events appended to JSON lines in two runs."""
+    path = tables.scratch(spark)
+    events = _events(spark, sf_dir)
+    for part in (0, 1):
+        sinks.write_ndjson(events.where(_body("event_id", "bigint") % 2 == part), path)
+    found = spark.read.schema("event_id bigint, `@timestamp` string, host struct<name: string>").json(path)
+    return found.select("event_id", F.col("@timestamp").alias("event_time"), F.col("host.name").alias("host_name"))
+
+
+@query(
+    "select event_id, case event_id % 3 when 0 then '042' when 1 then '007' else '2024-01-01' end as dataset, "
+    f"'0' || (user_id % 4) as host_name from events where event_id % 3 <> 1"
+)
+def event_table_names(spark, sf_dir):
+    """Datasets and hosts whose names look like numbers or dates, stored and searched."""
+    path = tables.scratch(spark)
+    events = _events(spark, sf_dir)
+    kind = _body("event_id", "bigint") % 3
+    name = F.when(kind == 0, "042").when(kind == 1, "007").otherwise("2024-01-01")
+    events = events.withColumns({
+        "event": F.struct(name.alias("dataset"), F.col("event.created").alias("created")),
+        "host": F.struct(F.replace("host.name", F.lit("h"), F.lit("0")).alias("name")),
+    })
+    sinks.write_event_table(events, path)
+    found = search_events(sinks.read_event_table(spark, path), {"terms": {"event.dataset": ["042", "2024-01-01"]}})
+    return found.select(
+        _body("event_id", "bigint").alias("event_id"), F.col("event.dataset").alias("dataset"), F.col("host.name").alias("host_name")
+    )
+
+
 @query(
     "with ranked as (select *, row_number() over (partition by user_id % 4, event_id % 8 order by event_id desc) as r from events), "
     "taken as (select 'h' || user_id % 4 as host, event_id, event_type from ranked where r <= 20) "
