@@ -15,8 +15,10 @@ empty sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,36 +134,30 @@ def with_followers(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     # The sketch and the list of range heads hold a few values per range, however many rows.
     cuts = rows.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    cuts = np.unique(np.array(cuts, float))
+    cuts = np.unique(np.array([math.floor(c) for c in cuts], np.int64))
 
-    def range_of(ids):
-        found = np.searchsorted(cuts, ids.to_numpy(float, na_value=np.inf), side="right")
-        return found.astype(np.int32)
+    def range_of(ids: pa.Array) -> np.ndarray:
+        # As whole numbers: a float would round large ids, also those beside a null.
+        found = np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+        return np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts), found).astype(np.int32)
 
-    place = F.pandas_udf(lambda ids: _series(range_of(ids)), "int")
+    place = F.arrow_udf(lambda ids: pa.array(range_of(ids)), "int")
     firsts = rows.select("doc_id", place("doc_id").alias("bucket")).groupBy("bucket").agg(F.min("doc_id").alias("head"))
     heads = {r.bucket: r.head for r in firsts.collect()}  # one row per range
     order = sorted(heads)
     before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
 
-    def places(ids):
-        found = range_of(ids)
-        keys = [None if x != x or x is None else int(x) for x in ids.astype("object")]
-        return _series([[b, before[i]] if i in before else [b] for b, i in zip(found.tolist(), keys)])
+    def places(ids: pa.Array) -> pa.Array:
+        found = zip(range_of(ids).tolist(), ids.to_pylist())
+        return pa.array([[b, before[i]] if i in before else [b] for b, i in found], pa.list_(pa.int32()))
 
-    both = F.pandas_udf(places, "array<int>")
+    both = F.arrow_udf(places, "array<int>")
     dealt = rows.withColumn("places", both("doc_id")).select("doc_id", "text", F.posexplode("places").alias("tail", "bucket"))
     return dealt.repartition(part_count(spark), "bucket").sortWithinPartitions(
         "bucket", "tail", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text"
     )
 
 
-def _series(values):
-    import pandas as pd
-
-    return pd.Series(values)
-
-
 _EDITED = (
     "doc_id long, n_chars long, n_edited long, n_marks long, edited_sha256 string, fingerprint string, "
     "edited_fingerprint string, near_edited double, near_next double"
