@@ -3,9 +3,9 @@
 A vector x with whole components gets one more coordinate, sqrt(M - |x|^2) with M the largest
 squared length, and a query gets 0 there: the nearest vector is then the one of the highest inner
 product, and the triangle inequality holds. Every vector belongs to the cell of its nearest pivot.
-A cell's summary is its number of vectors, the distances of its k + 1 nearest vectors from the
-pivot, and the largest distance of its queries. From the summaries alone comes a bound for a cell
-of queries: k vectors other than the query lie within it. A vector is copied to a group of query
+A cell's summary is the k + 1 ids whose vectors are nearest to the pivot, their distances, and the
+largest distance of its queries. From the summaries alone comes a bound for a cell of queries: k
+vectors with other ids than the query's lie within it. A vector is copied to a group of query
 cells only where its distance from its own pivot leaves it a chance to lie within the bound; copies
 are split into slices, the group's queries are sent to each slice, and the best k of the slices win.
 
@@ -76,7 +76,7 @@ def _in_cells(rows: DataFrame, pivots: np.ndarray, width: int, largest: int) ->
     """vec_id, vec with the cell and distance of the row as a vector and as a query."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
     schema = T.StructType(
-        rows.select("vec_id", "vec", "is_query").schema.fields
+        rows.select("vec_id", "vec", "is_query", "mark").schema.fields
         + T.StructType.fromDDL("cell int, dist double, query_cell int, query_dist double").fields
     )
 
@@ -91,30 +91,37 @@ def _in_cells(rows: DataFrame, pivots: np.ndarray, width: int, largest: int) ->
             cell, dist = nearest(_lifted(vectors, largest))
             query_cell, query_dist = nearest(np.column_stack([vectors.astype(float), np.zeros(len(vectors))]))
             yield {
-                "vec_id": batch.column(0), "vec": batch.column(1), "is_query": batch.column(2),
+                "vec_id": batch.column(0), "vec": batch.column(1), "is_query": batch.column(2), "mark": batch.column(3),
                 "cell": cell, "dist": dist, "query_cell": query_cell, "query_dist": query_dist,
             }
 
-    return arrow_step(rows.select("vec_id", "vec", "is_query"), step, schema)
+    return arrow_step(rows.select("vec_id", "vec", "is_query", "mark"), step, schema)
 
 
 def _nearest_of_cells(rows: DataFrame, k: int) -> pd.DataFrame:
-    """The k smallest distances of each cell: first of each task, then of all."""
+    """The k ids nearest to each cell's pivot, with their distances: first of each task, then of all.
+    An id that stands on many rows counts once, by its nearest."""
 
     def step(batches):
-        best: dict[int, list[float]] = {}
+        best = pd.DataFrame({"cell": np.empty(0, np.int32), "vec_id": np.empty(0, np.int64), "dist": np.empty(0)})
         for batch in batches:
-            cells, far = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for cell in np.unique(cells):
-                near = np.partition(far[cells == cell], min(k, (cells == cell).sum()) - 1)[:k]
-                best[cell] = sorted([*best.get(cell, []), *near.tolist()])[:k]
-        yield {"cell": [int(c) for c, v in best.items() for _ in v], "dist": [d for v in best.values() for d in v]}
-
-    partial = arrow_step(rows.select("cell", "dist"), step, "cell int, dist double")
-    by = Window.partitionBy("cell").orderBy("dist")
+            found = pd.concat([best, batch.to_pandas()]).sort_values("dist", kind="stable")
+            best = found.drop_duplicates(["cell", "vec_id"]).groupby("cell").head(k)
+        yield {c: best[c].to_numpy() for c in ("cell", "vec_id", "dist")}
+
+    partial = arrow_step(rows.select("cell", "vec_id", "dist"), step, "cell int, vec_id long, dist double")
+    partial = partial.groupBy("cell", "vec_id").agg(F.min("dist").alias("dist"))
+    by = Window.partitionBy("cell").orderBy("dist", "vec_id")
     return partial.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k).toPandas()
 
 
+def _reach(upper: np.ndarray, ids: np.ndarray, k: int) -> float:
+    """The distance within which k + 1 ids lie, so k of them are not the query's own."""
+    order = np.argsort(upper, kind="stable")
+    _, first = np.unique(ids[order], return_index=True)
+    return float(upper[order][np.sort(first)[k]]) if len(first) > k else float("inf")
+
+
 def _groups(cells: pd.DataFrame, between: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """Groups of (query cell, part, parts): neighbouring cells together up to GROUP queries, larger cells in parts."""
     left = {int(c): int(n) for c, n in zip(cells.query_cell, cells.n)}
@@ -166,7 +173,9 @@ def top_k(table: DataFrame, id_column: str, vector_column: str, queries: Column,
     """(query_id, rank, vec_id, score) for the rows of the table where ``queries``, a condition on vec_id, holds."""
     spark, folder = table.sparkSession, scratch(table.sparkSession)
     rows = save(
-        whole_vectors(table, id_column, vector_column, scale).withColumn("is_query", F.coalesce(queries, F.lit(False))),
+        whole_vectors(table, id_column, vector_column, scale).withColumns(
+            {"is_query": F.coalesce(queries, F.lit(False)), "mark": F.monotonically_increasing_id()}
+        ),
         folder,
         "vectors",
     )
@@ -181,37 +190,40 @@ def top_k(table: DataFrame, id_column: str, vector_column: str, queries: Column,
 
     near = _nearest_of_cells(rows, k + 1)
     asked = rows.where("is_query").groupBy("query_cell").agg(F.count("*").alias("n"), F.max("query_dist").alias("far")).toPandas()
-    counts = rows.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
+    cells = sorted(set(near.cell.to_numpy(int).tolist()))
     between = _distances(pivots, pivots)
     slack = _SLACK * (1 + 4 * math.sqrt(float(largest) + 1))
     # Some k vectors other than a query lie within this distance of every query of the cell.
-    reach = {}
+    reach, near_ids = {}, near.vec_id.to_numpy(np.int64)
     for cell, far in zip(asked.query_cell, asked.far):
-        upper = np.sort(between[int(cell), near.cell.to_numpy(int)] + near.dist.to_numpy() + far)
-        reach[int(cell)] = (upper[k] if len(upper) > k else float("inf")) + slack
+        upper = between[int(cell), near.cell.to_numpy(int)] + near.dist.to_numpy() + far
+        reach[int(cell)] = _reach(upper, near_ids, k) + slack
     farthest = {int(c): f for c, f in zip(asked.query_cell, asked.far)}
     groups = _groups(asked, between)
     copies, places = [], []
-    slices = max(1, math.ceil(int(counts.n.sum()) / SLICE))
     for g, members in enumerate(groups):
-        for cell in counts.cell:
+        for cell in cells:
             least = min(between[c, int(cell)] - farthest[c] - reach[c] for c, _, _ in members)
             copies.append((int(cell), g, float(least - slack)))
         places.extend([(c, p, parts, g) for c, p, parts in members])
     copy_table = spark.createDataFrame(copies, "cell int, grp int, least double")
     place_table = spark.createDataFrame(places, "query_cell int, part int, parts int, grp int")
 
-    # A vector's distance from its pivot shows whether it can lie within the bound.
-    data = rows.join(F.broadcast(copy_table), "cell").where("dist >= least").select(
-        "grp", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), "vec_id", "vec"
+    # A vector's distance from its pivot shows whether it can lie within the bound. A group has as
+    # many slices as the vectors that are left to it need.
+    data = rows.join(copy_table, "cell").where("dist >= least").select("grp", "mark", "vec_id", "vec")
+    held = data.groupBy("grp").agg(F.ceil(F.count("*") / F.lit(SLICE)).cast("int").alias("slices"))
+    held = save(held, folder, "slices")
+    data = data.join(held, "grp").select(
+        "grp", F.pmod(F.xxhash64("mark"), F.col("slices")).cast("int").alias("slice"), "vec_id", "vec"
     )
     mine = (F.col("parts") == 1) | (F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("parts")) == F.col("part"))
     once = rows.where("is_query").groupBy("vec_id").agg(
         F.min(F.struct("vec", "query_cell")).alias("q")
     ).select("vec_id", "q.vec", "q.query_cell")
-    points = once.join(F.broadcast(place_table), "query_cell").where(mine).select(
+    points = once.join(place_table, "query_cell").where(mine).join(held, "grp").select(
         F.col("grp").alias("to_grp"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("to_slice"),
+        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("to_slice"),
         F.col("vec_id").alias("query_id"),
         F.col("vec").alias("query_vec"),
     )
