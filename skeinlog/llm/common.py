@@ -66,6 +66,20 @@ def arrow_step(
     return df.mapInArrow(run, schema)
 
 
+ROW = "_whole_row"
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns an operator reads, beside the whole row in one column, so that no other column of
+    the row can clash with what the operator adds."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *columns)
+
+
+def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
+    """The rows as they were, with the ``new`` columns in place of the old ones."""
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"{ROW}.`{c}`").alias(c) for c in names])
+
+
 def part_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,8 +11,8 @@ larger id in the batch) are let go, the rest is written as the batch's own run.
 ``FANOUT`` runs they are merged into one run of the next level. All runs have the same buckets, so
 neither a merge nor the join's stored side moves its rows again.
 
-Defined results: a null or empty text is one empty line. Each row counts as a document, also if it
-repeats another. Rows without doc_id neither count nor lose lines. A text whose lines all go is
+Defined results: a null or empty text is one empty line. Rows that share a doc_id are one document when
+documents are counted. Rows without doc_id neither count nor lose lines. A text whose lines all go is
 empty. Columns named like a result (n_lines, n_dropped) are replaced.
 """
 
@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinlog.llm.common import part_count, save, scratch
+from skeinlog.llm.common import packed, part_count, save, scratch, unpacked
 
 MIN_CHARS, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
@@ -116,13 +116,15 @@ def drop_repeated_lines(
         F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"),
         F.explode(F.array_distinct(line_keys(lines_of(F.col("text")), min_chars))).alias("key"),
     ).where("key is not null")
-    staged = keys.groupBy("batch", "key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper"))
+    staged = keys.groupBy("batch", "key").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
     staged = save(staged, folder, "staged")
     runs = LineRuns(spark, folder, min_docs=min_docs)
-    for batch in range(batches):
-        runs.add(staged.where(F.col("batch") == batch).select("key", "docs", "keeper"))
-    frequent = save(runs.frequent(), folder, "frequent")
-    runs.close()
+    try:
+        for batch in range(batches):
+            runs.add(staged.where(F.col("batch") == batch).select("key", "docs", "keeper"))
+        frequent = save(runs.frequent(), folder, "frequent")
+    finally:
+        runs.close()
 
     version = F.xxhash64("text").alias("version")  # rows of one id can have different texts
     placed = narrow.select(
@@ -132,8 +134,8 @@ def drop_repeated_lines(
         F.sort_array(F.collect_set("place")).alias("gone")
     )
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("gone").alias("_gone"))
-    named = docs.withColumn("_own", F.xxhash64("text"))
-    joined = named.join(gone, (doc_id == F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
+    named = packed(docs, doc_id.alias("doc_id"), "text").withColumn("_own", F.xxhash64("text"))
+    joined = named.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_version")), "left")
     lines = lines_of(F.col("text"))
     # The lines between two that go, one slice after another: linear in the number of lines.
     edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size(lines)))
@@ -143,10 +145,6 @@ def drop_repeated_lines(
     )
     joined = joined.withColumns({"_lines": F.when(F.col("_gone").isNotNull(), lines), "_edges": edges})
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
-    return joined.withColumns(
-        {
-            "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "text": text,
-        }
-    ).drop("_own", "_id", "_version", "_gone", "_lines", "_edges")
+    found = {"text": text, "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return unpacked(joined, [*names, "n_lines", "n_dropped"], **found)
