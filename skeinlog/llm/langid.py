@@ -12,8 +12,9 @@ advance together, one table lookup each per symbol.
 The sample is bounded: ``SNIPPETS`` pieces of ``SNIPPET_CHARS`` characters per language, from the
 documents whose id has the smallest hashes. Every language has all letters of its sample as its
 alphabet, whatever the script; a letter that is not among them is a phrase of its own there. Its
-edges, at most three for each symbol of the sample, are kept in one sparse array, and ``MAX_LANGUAGES``
-languages at most are learned (more is an error).
+edges, at most three for each symbol of the sample, are kept in one sparse array. Learned are all
+languages, or the ``languages`` (``MAX_LANGUAGES`` by default) of the most labelled texts, by name among equals,
+so that the model and what reaches the driver are bounded.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no rate; with no
 labelled text at all every text is ``und``; equal counts go to the language first by name. The
@@ -36,20 +37,21 @@ _LANES = 1 << 22  # symbols parsed at once
 _SPACE, _UNKNOWN = 0, 1
 
 
-def sample(docs: DataFrame) -> list[tuple[str, list[str]]]:
+def sample(docs: DataFrame, languages: int = MAX_LANGUAGES) -> list[tuple[str, list[str]]]:
     """(language, snippets), by language, from labelled documents that are not held out."""
     place = F.xxhash64("doc_id")
     start = F.lit(1) + F.pmod(place, F.greatest(F.lit(1), F.length("text") - SNIPPET_CHARS)).cast("int")
     pieces = docs.where("lang is not null and text is not null").where(crc32_fold(F.col("doc_id")) != 0).select(
         "lang", place.alias("place"), F.substring(F.col("text"), start, F.lit(SNIPPET_CHARS)).alias("piece")
     )
+    # The languages of the most labelled texts; so few rows reach the driver however many there are.
+    learned = pieces.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    pieces = pieces.join(learned, "lang", "left_semi")
     by = Window.partitionBy("lang").orderBy("place", "piece")
     chosen = pieces.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= SNIPPETS)
     found: dict[str, list[str]] = {}
     for row in chosen.orderBy("lang", "rank").collect():
         found.setdefault(row.lang, []).append(row.piece)
-        if len(found) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
     return sorted(found.items())
 
 
@@ -218,8 +220,8 @@ class Model:
         return total * np.array(self.bits) / np.maximum(length, 1)[:, None], lettered
 
 
-def train(docs: DataFrame) -> Model:
-    return Model(sample(docs))
+def train(docs: DataFrame, languages: int = MAX_LANGUAGES) -> Model:
+    return Model(sample(docs, languages))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
