@@ -1,12 +1,14 @@
 """Sharding with sampled splitters: records in key order, cut into shards of nearly equal bytes.
 
-The key is (hash of the text, doc_id, row mark), so equal texts lie side by side and share a shard,
+The key is (hash of the text, doc_id, row mark), so equal texts lie side by side. They share a shard,
 or neighbouring ones where a group of copies is larger than a shard. Keys are sampled with a chance
 in proportion to their size; quantiles of the sample are the splitters of many small ranges. A range
 that turns out to hold more than ``OVERFULL`` times the mean of rows gets splitters of its own from
 a new sample inside it. Each range is sorted in its task, and the sums of the ranges before it place
-its records in the whole order. A record goes to the shard in which its middle byte lies, so that no
-shard is off by more than one record at each end.
+its records in the whole order. A group of equal texts goes to the shard in which its middle byte lies,
+and so does each record of a group that is larger than a shard; so no shard is off by more than half
+a group at each end. Groups that go over the border of ranges are put together from one row for each
+range.
 
 Bounds: ``MAX_RANGES`` ranges and ``PER_RANGE`` sampled keys for each of them (on average); only
 samples and the ranges' sums reach the driver.
@@ -106,19 +108,20 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     ranged = _in_ranges(rows, splitters)
     order = Window.partitionBy("range").orderBy(*KEY)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy("range", "text_hash")
     sorted_rows = ranged.select(
-        "doc_id", "size", "text_crc32", "range",
+        "doc_id", "size", "text_crc32", "range", "text_hash",
         F.row_number().over(order).alias("place"), (F.sum("size").over(upto) - F.col("size")).alias("before"),
-    )
+    ).withColumns({"group_before": F.min("before").over(group), "group_bytes": F.sum("size").over(group)})
     sorted_rows = save(sorted_rows, folder, "sorted")
 
-    sums = _range_sums(sorted_rows)
-    starts = sums.bytes.cumsum() - sums.bytes
-    offsets = spark.createDataFrame([(int(r), int(b)) for r, b in zip(sums.range, starts)], "range int, start long")
-    middle = (F.col("start") + F.col("before")).cast("double") + F.col("size") / 2
-    placed = sorted_rows.join(F.broadcast(offsets), "range").withColumn(
-        "shard", F.least(F.lit(shards - 1), F.floor(middle * shards / float(total.bytes))).cast("int")
-    )
+    offsets, wholes = _order_of(sorted_rows)
+    placed = sorted_rows.join(F.broadcast(offsets), "range").join(F.broadcast(wholes), ["range", "text_hash"], "left")
+    begin = F.coalesce("whole_start", F.col("start") + F.col("group_before")).cast("double")
+    held = F.coalesce("whole_bytes", "group_bytes")
+    own = (F.col("start") + F.col("before")).cast("double") + F.col("size") / 2
+    middle = F.when(held * shards <= F.lit(total.bytes), begin + held / 2).otherwise(own)
+    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / float(total.bytes))).cast("int"))
     # A shard's part of a range: at most one row for each range and each shard's edge.
     parts = placed.groupBy("range", "shard").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     parts = parts.orderBy("range", "shard").toPandas()
@@ -128,3 +131,28 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     found = placed.join(F.broadcast(slots), ["range", "shard"])
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("place")).alias("slot"))
+
+
+def _order_of(sorted_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(range, start): the bytes before each range; and (range, text_hash, whole_start, whole_bytes) of the
+    groups that lie in several ranges. Both have a row or two for each range."""
+    spark = sorted_rows.sparkSession
+    edge = F.struct("text_hash", "group_bytes")
+    sums = sorted_rows.groupBy("range").agg(
+        F.sum("size").alias("bytes"), F.min(edge).alias("first"), F.max(edge).alias("last"),
+    ).orderBy("range").collect()
+    starts, pieces, at = [], {}, 0
+    for row in sums:
+        starts.append((row.range, at))
+        for hash_, held in {(row.first.text_hash, row.first.group_bytes), (row["last"].text_hash, row["last"].group_bytes)}:
+            begin = at if hash_ == row.first.text_hash else at + row.bytes - held
+            pieces.setdefault(hash_, []).append((row.range, begin, held))
+        at += row.bytes
+    wholes = [
+        (range_, hash_, min(b for _, b, _ in parts), sum(n for _, _, n in parts))
+        for hash_, parts in pieces.items() if len(parts) > 1 for range_, _, _ in parts
+    ]
+    return (
+        spark.createDataFrame(starts, "range int, start long"),
+        spark.createDataFrame(wholes, "range int, text_hash long, whole_start long, whole_bytes long"),
+    )
