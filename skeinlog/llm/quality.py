@@ -8,12 +8,12 @@ with the job. The score is the logistic function of the difference of the two lo
 priors, divided by ``TEMPER``, as the statistics are less independent than Gaussians assume.
 
 Sums of the statistics and their products are added up per task and class, then over all tasks, so
-that nothing that grows with the rows reaches the driver or one task.
+that nothing that grows with the rows reaches the driver or one task. Each text is read once.
 
 Defined results: a null or empty text has the statistics of an empty text and gets a score. With
 one class among the labels every score is that class; with none every score is 0.5. Labels that
-are neither 0 nor 1 do not count; a document labelled twice counts for both. Columns named like a
-result are replaced.
+are neither 0 nor 1 do not count; a document labelled twice counts for both. Only doc_id and text are
+read, and the result has its own columns only.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ import unicodedata
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skeinlog.llm.common import arrow_step, crc32_fold
 
@@ -36,7 +35,7 @@ STATISTICS = 16
 
 def kind_table() -> np.ndarray:
     table = np.full(0x110000, _OTHER, np.uint8)
-    for point in range(0x30000):
+    for point in range(len(table)):
         c = chr(point)
         if c.isspace():
             table[point] = _SPACE
@@ -118,22 +117,40 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip((logs[0] - logs[1]) / TEMPER, -500, 500)))
 
 
+def measured(docs: DataFrame) -> DataFrame:
+    """(doc_id, statistics), a row for each row of docs. All that follows reads these few numbers,
+    and no text moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(kind_table())  # a byte for each code point
+
+    def step(batches):
+        for batch in batches:
+            rows = [statistics(t, shared.value) for t in batch.column(1).to_pylist()]
+            yield {"doc_id": batch.column(0), "statistics": rows}
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return arrow_step(rows, step, "doc_id long, statistics array<double>")
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS)
+
+
 def train(labelled: DataFrame) -> Discriminant:
-    """labelled: columns text and quality."""
+    """labelled: columns statistics and quality."""
 
     def step(batches):
-        kinds = kind_table()
         sums = np.zeros((2, 1 + STATISTICS + STATISTICS * STATISTICS))
         for batch in batches:
-            for text, quality in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = np.array(statistics(text, kinds))
-                sums[quality] += np.concatenate([[1], x, np.outer(x, x).ravel()])
+            rows, marks = _matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            for quality in (0, 1):
+                own = rows[marks == quality]
+                sums[quality] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         for quality in (0, 1):
             if sums[quality, 0]:
                 n = sums.shape[1]
                 yield {"quality": [quality] * n, "place": list(range(n)), "value": sums[quality]}
 
-    rows = labelled.where("quality in (0, 1)").select("text", F.col("quality").cast("int"))
+    rows = labelled.where("quality in (0, 1)").select("statistics", F.col("quality").cast("int"))
     partial = arrow_step(rows, step, "quality int, place int, value double")
     found = partial.groupBy("quality", "place").agg(F.sum("value").alias("value")).collect()
     moments = {}
@@ -148,30 +165,31 @@ def train(labelled: DataFrame) -> Discriminant:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of documents that are not held out, with their labels."""
-    ours = docs.where("doc_id is not null").where(crc32_fold(F.col("doc_id")) != 0).select("doc_id", "text")
+    """(statistics, quality) of documents that are not held out."""
+    return with_labels(measured(docs), labels)
+
+
+def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The same of measured rows."""
+    ours = rows.where("doc_id is not null").where(crc32_fold(F.col("doc_id")) != 0)
     marks = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_id"), "quality")
-    return ours.join(marks, F.col("doc_id") == F.col("_id")).select("text", "quality")
+    return ours.join(marks, F.col("doc_id") == F.col("_id")).select("statistics", "quality")
 
 
 def rate(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted."""
-    docs = docs.drop("score", "predicted")
-    names = docs.columns
-    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("score double, predicted int").fields)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # two small matrices
+    """(doc_id, score, predicted), a row for each row of docs."""
+    return rate_measured(measured(docs), model, threshold)
+
+
+def rate_measured(rows: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """The same of measured rows."""
+    shared = rows.sparkSession.sparkContext.broadcast(vars(model))  # two small matrices
 
     def step(batches):
         model = Discriminant.__new__(Discriminant)
         model.__dict__.update(shared.value)
-        kinds = kind_table()
         for batch in batches:
-            texts = batch.column(names.index("text")).to_pylist()
-            scores = model.scores(np.array([statistics(t, kinds) for t in texts]).reshape(-1, STATISTICS))
-            yield {
-                **{n: batch.column(i) for i, n in enumerate(names)},
-                "score": scores,
-                "predicted": (scores >= threshold).astype(np.int32),
-            }
-
-    return arrow_step(docs, step, schema)
+            scores = model.scores(_matrix(batch.column(1)))
+            yield {"doc_id": batch.column(0), "score": scores, "predicted": (scores >= threshold).astype(np.int32)}
+
+    return arrow_step(rows.select("doc_id", "statistics"), step, "doc_id long, score double, predicted int")
