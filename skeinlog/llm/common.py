@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +90,34 @@ def crc32_fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0))
 
 
+
+
+class BitFilter:
+    """Tells for most values that they are not in a set. Its size follows the set up to ``MOST_BITS``;
+    beyond that more values pass, and none of the set is ever missed."""
+
+    LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 26, 8
+
+    def __init__(self, rows: DataFrame, value: Column):
+        """value: a column of hashes (long)."""
+        rows = rows.select(value.alias("value"))
+        wanted = rows.count() * self.BITS_EACH
+        self.bits = min(self.MOST_BITS, max(self.LEAST_BITS, 1 << max(wanted - 1, 1).bit_length()))
+        place = F.col("value").bitwiseAND(F.lit(self.bits - 1))
+        word = F.shiftright(place, 6).alias("word")
+        bit = F.expr(f"shiftleft(1L, cast((value & {self.bits - 1}) & 63 as int))")
+        # At most one row for each 64 bits reaches the driver.
+        found = rows.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+        table = np.zeros(self.bits // 64, np.uint64)
+        table[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+        self.shared = rows.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, value: Column) -> Column:
+        shared, mask = self.shared, np.int64(self.bits - 1)
+
+        def look(values: pa.Array) -> pa.Array:
+            at = values.fill_null(0).to_numpy(zero_copy_only=False) & mask
+            hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            return pa.array(hit.astype(bool) & values.is_valid().to_numpy(zero_copy_only=False))
+
+        return F.arrow_udf(look, "boolean")(value)

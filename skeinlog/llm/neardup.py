@@ -8,17 +8,23 @@ go. Collisions are counted by prefix and skip: pairs are ordered by list length,
 meet there), and the remaining coordinates, the long lists, are skipped and only compared for pairs
 already found. Every pair that remains is confirmed on the full sets.
 
-Equal sets are one node from the start. Inside a list not all pairs are made: every member is first
-tested against the list's hub, the member that agrees most with all others; what is confirmed is
-merged, and only pairs of members still in different components are then tested one by one. A pair
-left out this way joins documents that are connected already, so components are the same as with
-all links.
+Equal sets are one node from the start. Of a list of up to ``SHORT`` members all pairs are tested. In a
+longer one every member is first tested against the list's hub, the member that agrees most with all
+others; what is confirmed is merged. Members of different components that are left then meet in
+jobs: the members of a list, in blocks if they are many, stand in one task as a matrix of signatures,
+where all pairs are counted at once, and of each pair that collides often enough the list that is the
+first of both takes care. A job gives back its members' partners as one row for each member, and gets
+the members' full sets, each once, to count the intersections; it returns no more links than it needs
+to join what is connected. So no row is made for a pair of a long list, and a set moves once for a job.
 
 A shingle that no other document of the lists has lies in no intersection. Counting these bounds the
 similarity that a document can reach with any other, and a pair's likewise; documents and pairs below
 the threshold by this bound are not compared. So a family of copies that are edited too much to be
 linked costs no comparison for each pair.
 
+Only documents in lists are read a second time, for their full sets: a bit filter of their keys lets the
+other texts go before anything moves.
+
 Defined results: a document is a doc_id with a text, so rows that share a doc_id and have different
 texts are decided each for itself, and of rows equal in both one is kept. The smallest doc_id of a
 component names it; the smallest text digest decides between that doc_id's texts. A null or empty
@@ -28,19 +34,23 @@ and are kept, with a null component_id.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skeinlog.llm.common import arrow_step, save, scratch
+from skeinlog.llm.common import BitFilter, arrow_step, part_count, save, scratch
 from skeinlog.llm.components import components
 from skeinlog.llm.hashing import mix, shingle_set, spread
 
 WORDS, SIMILARITY = 5, 75  # words in a shingle; percent of the union
 COORDINATES, MATCHES = 32, 11
 PREFIX = COORDINATES - MATCHES + 1
-HUB_STEPS = 3
+SHORT = 8  # members of a list whose pairs are all tested
+JOB_ITEMS = 1 << 20  # shingles of a job's block
 
 _SIGNED = "doc_id long, digest binary, n_shingles long, set_sum long, set_xor long, signature array<long>"
 _SET = ["n_shingles", "set_sum", "set_xor"]
@@ -83,35 +93,36 @@ def signatures(docs: DataFrame, words: int = WORDS, coordinates: int = COORDINAT
     return arrow_step(rows, step, _SIGNED)
 
 
-def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(node, items): the full shingle set of each document."""
+def shingles(docs: DataFrame, words: int, keys: list[str]) -> DataFrame:
+    """The keys and items: the full shingle set of each document."""
+    schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("items", T.ArrayType(T.LongType()))])
 
     def step(batches):
         for batch in batches:
             sets = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield {"node": batch.column("node"), "items": sets}
+            yield {**{k: batch.column(k) for k in keys}, "items": sets}
 
-    return arrow_step(docs.select("node", "text"), step, "node long, items array<long>")
+    return arrow_step(docs.select(*keys, "text"), step, schema)
 
 
 def postings(nodes: DataFrame, coordinates: int, prefix: int) -> DataFrame:
-    """(at, value, node, n_shingles, weight): each node under the rarest of its coordinate-value
-    pairs. Pairs of one node only are the rarest of all and need no list, but count as a part of
-    the prefix. weight: how many postings the node's pairs have in all."""
-    posted = nodes.select("node", "n_shingles", F.posexplode("signature").alias("at", "value"))
-    lists = posted.groupBy("at", "value").agg(F.count("*").alias("length")).where("length > 1")
-    own = posted.join(lists, ["at", "value"]).groupBy("node", "n_shingles").agg(
-        F.sort_array(F.collect_list(F.struct("length", "at", "value"))).alias("shared"),
-        F.sum("length").alias("weight"),
+    """(list, node, weight, length): each node under the rarest of its coordinate-value pairs. Pairs of
+    one node only are the rarest of all and need no list, but count as a part of the prefix. weight:
+    how many postings the node's pairs have in all."""
+    # One exchange serves the count and the join. A list is named by a hash of its pair; two lists of one
+    # name would only be merged as one.
+    posted = nodes.select("node", F.posexplode("signature").alias("at", "value"))
+    posted = posted.select("node", F.xxhash64("at", "value").alias("list")).repartition(part_count(nodes.sparkSession), "list")
+    lists = posted.groupBy("list").agg(F.count("*").alias("length")).where("length > 1")
+    own = posted.join(lists, "list").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("length", "list"))).alias("shared"), F.sum("length").alias("weight"),
     )  # at most one entry per coordinate
     merged = F.slice("shared", 1, F.greatest(F.lit(0), F.size("shared") - (coordinates - prefix)))
     enough = own.where(F.size("shared") > coordinates - prefix)
-    return enough.select("node", "n_shingles", "weight", F.explode(merged).alias("p")).select(
-        "p.at", "p.value", "node", "n_shingles", "weight"
-    )
+    return enough.select("node", "weight", F.explode(merged).alias("p")).select("p.list", "p.length", "node", "weight")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, similarity: int) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, similarity: int, folder: str) -> DataFrame:
     """Those of the pairs (a, b) that have enough collisions and are similar on their full sets."""
 
     def beside(rows, table, column):
@@ -121,10 +132,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int,
         return rows
 
     hits = F.size(F.filter(F.zip_with("signature_a", "signature_b", lambda x, y: x == y), lambda x: x))
-    near = beside(pairs, nodes, "signature").where(hits >= matches).select("a", "b")
+    near = save(beside(pairs, nodes, "signature").where(hits >= matches).select("a", "b"), folder, "colliding")
+    # Only the sets of these pairs move.
+    needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     both = F.size(F.array_intersect("items_a", "items_b"))
     union = F.size("items_a") + F.size("items_b") - both
-    return beside(near, sets, "items").where(100 * both >= similarity * union).select("a", "b")
+    found = beside(near, sets.join(needed, "node", "left_semi"), "items")
+    return found.where(100 * both >= similarity * union).select("a", "b")
 
 
 def unshared(sets: DataFrame) -> DataFrame:
@@ -136,19 +150,132 @@ def unshared(sets: DataFrame) -> DataFrame:
     return sets.select("node").join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
-def hopeful(lists: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The postings of nodes that may be similar to another node of the lists, with ``shared``."""
-    alone = unshared(sets.join(lists.select("node").distinct(), "node", "left_semi"))
-    found = lists.drop("shared").join(alone, "node").withColumn("shared", F.col("n_shingles") - F.col("alone")).drop("alone")
+def hopeful(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(node, shared, n_shingles, signature) of the nodes with a list that may be similar to another: of
+    ``shared`` items at most anyone else has one."""
+    found = nodes.join(unshared(sets), "node").withColumn("shared", F.col("n_shingles") - F.col("alone")).drop("alone")
     return found.where(100 * F.col("shared") >= similarity * F.col("n_shingles"))
 
 
-def reaches(similarity: int, n: Column, shared: Column, other_n: Column, other_shared: Column) -> Column:
+def reaches(similarity: int, n, shared, other_n, other_shared):
     """Whether two sets of n items, of which at most ``shared`` are anyone else's, can be similar."""
-    both = F.least(shared, other_shared)
+    least = F.least if isinstance(n, Column) else np.minimum
+    both = least(shared, other_shared)
     return 100 * both >= similarity * (n + other_n - both)
 
 
+def _jobs(members: DataFrame, job_items: int) -> DataFrame:
+    """The members of open lists with the ``job`` they meet in and the ``side`` they stand on there: 0 and 1
+    are two blocks whose pairs are counted, 2 is a block by itself. Short lists share jobs."""
+    sizes = members.groupBy("list").agg(F.ceil(F.sum("n_shingles") / F.lit(job_items)).cast("int").alias("blocks"))
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    packs = max(1, math.ceil(total / job_items))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = members.join(sizes, "list").withColumn("block", block)
+    # A block meets itself and every other block once.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    job = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("list"), F.lit(packs))).otherwise(F.xxhash64("list", low, high))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return rows.withColumns({"job": job, "side": side}).drop("blocks", "block", "other")
+
+
+def _partners(matches: int, similarity: int):
+    """One job: for each member the partners that collide often enough, reach the threshold by their
+    bounds and have this list as their first in common."""
+    schema = pa.schema([("job", pa.int64()), ("node", pa.int64()), ("partners", pa.list_(pa.int64()))])
+
+    def solve(key, table):
+        table = table.take(pa.array(np.argsort(table["list"].to_numpy(), kind="stable")))
+        lists, node, n, shared, component, side = (
+            table[c].to_numpy() for c in ("list", "node", "n_shingles", "shared", "component", "side")
+        )
+        signed, own = _matrix(table["signature"]), _padded(table["own"])
+        found: dict[int, list] = {}
+        edges = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1], [True])))
+        for begin, end in zip(edges[:-1], edges[1:]):
+            here = lists[begin]
+            for a in range(begin, end - 1):
+                rest = np.arange(a + 1, end)
+                rest = rest[(component[rest] != component[a]) & ((side[rest] == 2) | (side[rest] != side[a]))]
+                rest = rest[reaches(similarity, n[a], shared[a], n[rest], shared[rest])]
+                rest = rest[(signed[rest] == signed[a]).sum(axis=1) >= matches]
+                # Lists that come before this one, if the partner has them too.
+                rest = rest[~np.isin(own[rest], own[a][own[a] < here]).any(axis=1)]
+                if len(rest):
+                    found.setdefault(int(node[a]), []).extend(node[rest].tolist())
+        columns = [[key[0].as_py()] * len(found), list(found), list(found.values())]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return solve
+
+
+def _padded(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists as the rows of a matrix, filled up with a value that no list has."""
+    parts = _slices(column)
+    out = np.full((len(parts), max(map(len, parts), default=0)), np.iinfo(np.int64).max)
+    for row, part in zip(out, parts):
+        row[: len(part)] = part
+    return out
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _links(similarity: int):
+    """One job: links (a, b) between similar partners, no more than connect them."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def solve(_, partners: pa.Table, sets: pa.Table) -> pa.Table:
+        if not len(partners):
+            return schema.empty_table()
+        parts = _slices(sets["items"])
+        # Items by number, so that a table of marks counts an intersection.
+        numbers, at = np.unique(np.concatenate(parts), return_inverse=True)
+        items = dict(zip(sets["member"].to_pylist(), np.split(at, np.cumsum([len(p) for p in parts])[:-1])))
+        mark, root, links = np.zeros(len(numbers), bool), {}, []
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, others in zip(partners["node"].to_pylist(), partners["partners"].to_pylist()):
+            others = [b for b in others if top(b) != top(a)]
+            if not others:
+                continue
+            mark[items[a]] = True
+            sizes = np.array([len(items[b]) for b in others])
+            both = np.add.reduceat(mark[np.concatenate([items[b] for b in others])].astype(np.int64), np.cumsum(sizes) - sizes)
+            mark[items[a]] = False
+            similar = 100 * both >= similarity * (len(items[a]) + sizes - both)
+            for b in np.array(others)[similar].tolist():
+                if top(a) != top(b):
+                    links.append((a, b))
+                    root[top(a)] = top(b)
+        columns = list(zip(*links)) or [[], []]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    return solve
+
+
+def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
+    whole = column.combine_chunks()
+    begins, values = whole.offsets.to_numpy(), whole.values.to_numpy(zero_copy_only=False)
+    return [values[b:e] for b, e in zip(begins[:-1], begins[1:])]
+
+
+def job_links(members: DataFrame, sets: DataFrame, matches: int, similarity: int, folder: str, job_items: int = JOB_ITEMS) -> DataFrame:
+    """Links (a, b) between the members of open lists, from jobs."""
+    rows = _jobs(members, job_items)
+    partners = rows.groupBy("job").applyInArrow(_partners(matches, similarity), "job long, node long, partners array<long>")
+    partners = save(partners, folder, "partners")
+    needed = partners.select("job", "node").union(partners.select("job", F.explode("partners"))).distinct()
+    mine = needed.join(sets, "node").select(F.col("job").alias("of_job"), F.col("node").alias("member"), "items")
+    return partners.groupBy("job").cogroup(mine.groupBy("of_job")).applyInArrow(_links(similarity), "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY,
     coordinates: int = COORDINATES, matches: int = MATCHES,
@@ -162,73 +289,69 @@ def near_duplicates(
         base = base.withColumn(column, F.when(alone, F.xxhash64(F.lit(seed), "doc_id", "digest")).otherwise(F.col(column)))
     # Written, so that a row and a node have one number from here on.
     base = save(base.withColumn("row", F.monotonically_increasing_id()), folder, "signatures")
-    head = F.min(F.struct("doc_id", "digest", "row")).alias("head")
-    classes = base.where("doc_id is not null").groupBy(_SET).agg(head)
-    classes = save(classes.withColumn("node", F.monotonically_increasing_id()), folder, "classes")
-    # The row is part of the key, so that a large class does not meet in one task.
-    heads = classes.where("n_shingles > 0").select(*_SET, F.col("head.row").alias("row"), "node", "head")
-    nodes = save(base.join(heads, [*_SET, "row"]).select("node", "n_shingles", "signature"), folder, "nodes")
-    lists = save(postings(nodes, coordinates, coordinates - matches + 1), folder, "postings")
-    active = lists.select("node").distinct()
-    active = heads.join(active, "node").select("head.doc_id", "head.digest", "node")
+    # A class's members have one signature; the smallest row's goes along.
+    head = F.min(F.struct("doc_id", "digest", "row", "signature")).alias("head")
+    classes = base.where("doc_id is not null").groupBy(_SET).agg(head).withColumn("node", F.monotonically_increasing_id())
+    classes = save(classes.select(*_SET, "head.*", "node"), folder, "classes")
+    lists = save(
+        postings(classes.where("n_shingles > 0").select("node", "signature"), coordinates, coordinates - matches + 1), folder, "postings"
+    )
+    active = classes.join(lists.select("node").distinct(), "node", "left_semi")
+    active = save(active.select("node", "doc_id", "digest", "n_shingles", "signature"), folder, "active")
+    key = F.xxhash64("doc_id", "digest")
+    filter_ = BitFilter(active, key)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
-    texts = own.join(active, ["doc_id", "digest"])
-    sets = save(shingles(texts, words).dropDuplicates(["node"]), folder, "sets")
-    lists = save(hopeful(lists, sets, similarity), folder, "hopeful")
-
-    links, labels, step = None, None, 0
-    while True:
-        if labels is None:
-            placed = lists.withColumn("component", F.col("node"))
-        else:
-            placed = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = save(placed, folder, f"placed-{step}")
-        open_pairs, rows = _open_pairs(placed)
-        if not open_pairs:
-            break
-        last = open_pairs <= 2 * rows or step >= HUB_STEPS
-        if last:
-            other = placed.select(
-                "at", "value", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("shared").alias("s"),
-                F.col("component").alias("c"),
-            )
-            pairs = placed.withColumnRenamed("node", "b").join(other, ["at", "value"]).where(
-                (F.col("a") < F.col("b")) & (F.col("c") != F.col("component"))
-                & reaches(similarity, F.col("n"), F.col("s"), F.col("n_shingles"), F.col("shared"))
-            )
-        else:
-            rank = F.col("weight") if step == 0 else F.xxhash64(F.lit(step), "node")
-            hubs = placed.groupBy("at", "value").agg(F.max(F.struct(rank.alias("rank"), "node", "n_shingles", "shared", "component")).alias("hub"))
-            pairs = placed.join(hubs, ["at", "value"]).where(
-                (F.col("component") != F.col("hub.component"))
-                & reaches(similarity, F.col("n_shingles"), F.col("shared"), F.col("hub.n_shingles"), F.col("hub.shared"))
-            ).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        tested = save(pairs.select("a", "b").distinct(), folder, f"pairs-{step}")
-        found = save(confirmed(tested, nodes, sets, matches, similarity), folder, f"links-{step}")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, folder, f"labels-{step}")
-        step += 1
-        if last:
-            break
-
-    known = base.drop("signature").join(classes, _SET, "left")
+    few = shingles(own.where(filter_.may_hold(key)), words, ["doc_id", "digest"])
+    sets = few.join(active.select("doc_id", "digest", "node"), ["doc_id", "digest"]).select("node", "items")
+    sets = save(sets.dropDuplicates(["node"]), folder, "sets")
+    nodes = save(hopeful(active.drop("doc_id", "digest"), sets, similarity), folder, "nodes")
+    lists = lists.join(nodes.select("node", "n_shingles", "shared"), "node")
+    links, labels = _linked(save(lists, folder, "lists"), nodes, sets, matches, similarity, folder)
+
+    known = base.drop("signature").join(classes.drop("signature").withColumnsRenamed(
+        {"doc_id": "head_id", "digest": "head_digest", "row": "head_row"}), _SET, "left")
+    head = F.struct("head_id", "head_digest", "head_row")
+    known = known.withColumn("head", head).drop("head_id", "head_digest", "head_row")
     if labels is not None:
         # The node numbers are arbitrary; a component's head is its smallest document.
-        firsts = labels.join(classes, "node").groupBy("component").agg(F.min("head").alias("first"))
+        heads = classes.select("node", F.struct(F.col("doc_id").alias("head_id"), F.col("digest").alias("head_digest"), F.col("row").alias("head_row")).alias("head"))
+        firsts = labels.join(heads, "node").groupBy("component").agg(F.min("head").alias("first"))
         known = known.join(labels.join(firsts, "component").select("node", "first"), "node", "left")
         known = known.withColumn("head", F.coalesce("first", "head"))
     named = F.col("doc_id").isNotNull()
     return known.select(
-        "doc_id", "digest", "n_shingles", F.when(named, F.col("head.doc_id")).alias("component_id"),
-        F.when(named, F.col("row") == F.col("head.row")).otherwise(F.lit(True)).alias("kept"),
+        "doc_id", "digest", "n_shingles", F.when(named, F.col("head.head_id")).alias("component_id"),
+        F.when(named, F.col("row") == F.col("head.head_row")).otherwise(F.lit(True)).alias("kept"),
     )
 
 
-def _open_pairs(placed: DataFrame) -> tuple[int, int]:
-    """Pairs of one list and two components, counted without making them; and rows in lists."""
-    of = placed.groupBy("at", "value", "component").agg(F.count("*").alias("n"))
-    of = of.groupBy("at", "value").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-    total = of.agg(
-        F.sum((F.col("n").cast("double") * F.col("n") - F.col("within")) / 2).alias("open"), F.sum("n").alias("rows")
-    ).first()
-    return int(total.open or 0), int(total.rows or 0)
+def _linked(lists: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, similarity: int, folder: str):
+    """(links, labels) of all similar nodes of the lists (list, node, weight, n_shingles, shared)."""
+    sized = lists.groupBy("list").agg(F.count("*").alias("size"))
+    lists = save(lists.drop("length").join(sized.where("size > 1"), "list"), folder, "sized")
+    other = lists.where(F.col("size") <= SHORT).select(
+        "list", F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("shared").alias("s")
+    )
+    pairs = lists.withColumnRenamed("node", "b").join(other, "list").where(
+        (F.col("a") < F.col("b")) & reaches(similarity, F.col("n"), F.col("s"), F.col("n_shingles"), F.col("shared"))
+    ).select("a", "b")
+    long = lists.where(F.col("size") > SHORT)
+    hub = F.max(F.struct("weight", "node", "n_shingles", "shared")).alias("hub")
+    hubs = long.groupBy("list").agg(hub)
+    stars = long.join(hubs, "list").where(
+        (F.col("node") != F.col("hub.node"))
+        & reaches(similarity, F.col("n_shingles"), F.col("shared"), F.col("hub.n_shingles"), F.col("hub.shared"))
+    ).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    tested = save(pairs.union(stars).distinct(), folder, "pairs")
+    links = save(confirmed(tested, nodes, sets, matches, similarity, folder), folder, "links")
+    labels = components(links, folder, "labels-0")
+
+    placed = long.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("list").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    open_ = placed.join(several.where("least < most").select("list"), "list", "left_semi")
+    own = open_.groupBy("node").agg(F.collect_list("list").alias("own"))
+    members = open_.select("list", "node", "component").join(own, "node").join(nodes, "node")
+    members = save(members, folder, "members")
+    more = save(job_links(members, sets, matches, similarity, folder), folder, "job-links")
+    links = links.unionByName(more)
+    return links, components(links, folder, "labels-1")
