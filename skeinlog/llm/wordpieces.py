@@ -30,6 +30,7 @@ from skeinlog.llm.common import arrow_step
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NONE = -1
+LANE_BYTES = 256  # bytes of the longest word that walks with others; a longer one walks by itself
 
 
 def read_vocabulary(path: str = VOCABULARY) -> list[bytes]:
@@ -83,6 +84,27 @@ class Automaton:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word; -1 for a word that can't be spelled."""
+        alone = [i for i, w in enumerate(words) if len(w) > LANE_BYTES]
+        if alone:
+            out = self._together([w if len(w) <= LANE_BYTES else b"" for w in words])
+            tables = dict(zip(self.keys.tolist(), self.targets.tolist())), self.fail.tolist(), self.popped.tolist()
+            out[alone] = [self._alone(words[i], *tables) for i in alone]
+            return out
+        return self._together(words)
+
+    def _alone(self, word: bytes, edges: dict[int, int], fail: list[int], popped: list[int]) -> int:
+        state = pieces = 0
+        for byte in word:
+            while (to := edges.get(state * 256 + byte)) is None:
+                if fail[state] == _NONE:
+                    return -1
+                pieces += popped[state]
+                state = fail[state]
+            state = to
+        left = int(self.rest[state])
+        return -1 if left == _NONE else pieces + left
+
+    def _together(self, words: list[bytes]) -> np.ndarray:
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         lengths = np.array([len(words[i]) for i in order], np.int64)
         starts = np.cumsum(lengths) - lengths
