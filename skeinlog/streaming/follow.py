@@ -3,10 +3,21 @@
 Spark's own file stream takes a file once and ignores what is appended later. This source keeps a
 byte offset per file. A line belongs to the byte range that holds its line end, so any split of
 the bytes gives every line exactly once, and a last line without its end waits for the next batch.
+
+A file is known by its identity, not by its name: on a local disk by its inode, elsewhere by a hash of
+its first bytes and how many these are. So a renamed file goes on where it was, and a new file under an
+old name, longer or not, is read from its start. First bytes are read of files that are new or have
+grown only.
+
+A batch reads at most ``maxBytesPerBatch``, the first one too. After a restart this holds where
+``progress`` names a folder in which the source keeps what it planned last; Spark doesn't tell a source
+the committed offset before it asks for the next.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 FORMAT = "appended_lines"
 SCHEMA = "host string, path string, blk bigint, mid bigint, value string"
+HEAD_BYTES = 1024
 
 _BLOCK = 4 << 20
 
@@ -33,9 +45,11 @@ class _Range(InputPartition):
 
 
 class AppendedLines(DataSource):
-    """Options: ``path`` (root with one directory per host), ``include`` (a regular expression
-    on the path below the host, default all), ``startingPosition`` (beginning or end),
-    ``maxBytesPerBatch`` (default 1 GiB) and ``maxBytesPerTask`` (default 64 MiB)."""
+    """Options: ``path`` (root with one directory per host), ``hosts`` (a JSON list, default all),
+    ``scope`` (a JSON list of ``include`` and ``exclude`` regular expressions, see :class:`Scope`, default
+    all files), ``startingPosition`` (beginning or end), ``maxBytesPerBatch`` (default 1 GiB),
+    ``maxBytesPerTask`` (default 64 MiB), ``progress`` (a folder, default none) and ``identity``
+    (``content`` also on local disks)."""
 
     @classmethod
     def name(cls) -> str:
@@ -48,67 +62,143 @@ class AppendedLines(DataSource):
         return _Follower(self.options)
 
 
+@dataclass(frozen=True)
+class Scope:
+    """Files whose path below the host matches ``include`` and whose name, the path without ``base``,
+    matches none of ``exclude``."""
+
+    include: str
+    base: str = ""
+    exclude: tuple[str, ...] = ()
+
+    def holds(self, path: str) -> bool:
+        if not re.search(self.include, path):
+            return False
+        shown = path.removeprefix(self.base)
+        return not any(re.search(pattern, shown) for pattern in self.exclude)
+
+
 class _Follower(DataSourceStreamReader):
     """Offset: ``{"files": {file: byte}, "ids": {file: identity}}``."""
 
     def __init__(self, options):
         self.root = options["path"]
-        self.include = options.get("include", "")
+        hosts = options.get("hosts")
+        self.hosts = json.loads(hosts) if hosts else None
+        self.scopes = [Scope(**s) for s in json.loads(options.get("scope", "[]"))]
         self.from_end = options.get("startingPosition", "beginning") == "end"
         self.per_batch = int(options.get("maxBytesPerBatch", 1 << 30))
         self.per_task = int(options.get("maxBytesPerTask", 64 << 20))
-        self.planned: dict | None = None
+        self.by_content = options.get("identity") == "content"
+        self.progress = options.get("progress")
+        self.planned: dict | None = self._recalled()
+
+    # ---- what there is
 
     def _sizes(self) -> dict[str, int]:
-        """Size of every followed file, by its path below the root."""
+        """Size of every followed file, by its path below the root. Only the hosts in question are listed."""
         store, base = store_of(self.root)
-        found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+        tops = [base] if self.hosts is None else [f"{base}/{host}" for host in self.hosts]
         sizes = {}
-        for info in found:
-            name = info.path[len(base) :].lstrip("/")
-            below_host = "/" + name.partition("/")[2]
-            hidden = name.rsplit("/", 1)[-1].startswith((".", "_"))
-            if info.type == fs.FileType.File and not hidden and re.search(self.include, below_host):
-                sizes[name] = info.size
+        for top in tops:
+            for info in store.get_file_info(fs.FileSelector(top, recursive=True, allow_not_found=True)):
+                name = info.path[len(base) :].lstrip("/")
+                below_host = "/" + name.partition("/")[2]
+                hidden = name.rsplit("/", 1)[-1].startswith((".", "_"))
+                wanted = not self.scopes or any(s.holds(below_host) for s in self.scopes)
+                if info.type == fs.FileType.File and not hidden and wanted:
+                    sizes[name] = info.size
         return sizes
 
-    def _identity(self, name: str) -> str:
-        """The inode where the file system has one: it tells a rotated file from a grown one."""
+    def _head(self, name: str, n: int) -> str:
+        """A hash of the first ``n`` bytes of a file; empty if there are fewer."""
+        store, base = store_of(self.root)
+        try:
+            with store.open_input_file(f"{base}/{name}") as file:
+                data = file.read_at(n, 0)
+        except FileNotFoundError:
+            return ""
+        return hashlib.blake2b(data, digest_size=12).hexdigest() if len(data) == n else ""
+
+    def _is(self, name: str, size: int, identity: str) -> bool:
+        """Whether a file has this identity of content."""
+        kind, _, rest = identity.partition(":")
+        n, _, digest = rest.partition(":")
+        return kind == "head" and size >= int(n) and self._head(name, int(n)) == digest
+
+    def _identity(self, name: str, size: int) -> str:
         store, base = store_of(self.root)
-        if isinstance(store, fs.LocalFileSystem):
+        if isinstance(store, fs.LocalFileSystem) and not self.by_content:
             import os
 
             try:
-                return str(os.stat(f"{base}/{name}").st_ino)
+                return f"inode:{os.stat(f'{base}/{name}').st_ino}"
             except OSError:
                 return ""
-        return ""
+        n = min(size, HEAD_BYTES)
+        return f"head:{n}:{self._head(name, n)}" if n else ""
+
+    def _identities(self, sizes: dict[str, int]) -> dict[str, str]:
+        """Each file's identity. One that a file had before stays while its first bytes do."""
+        before = self.planned or {"files": {}, "ids": {}}
+        found = {}
+        for name, size in sizes.items():
+            known = before["ids"].get(name, "")
+            if known.startswith("head:") and (size == before.get("sizes", {}).get(name) or self._is(name, size, known)):
+                found[name] = known
+                continue
+            own = self._identity(name, size)
+            if own.startswith("head:"):
+                # A renamed file: it goes by an identity that its old name has lost.
+                lost = [i for n, i in before["ids"].items() if n not in sizes and i]
+                own = next((i for i in lost if self._is(name, size, i)), own)
+            found[name] = own
+        return found
+
+    def _starts(self, start: dict, end: dict) -> dict[str, int]:
+        """Where each file of ``end`` is read from. A file that is known under any name goes on; others,
+        and files that got shorter, are read from their start."""
+        by_id = {i: start["files"][n] for n, i in start["ids"].items() if i and n in start["files"]}
+        found = {}
+        for name, size in end["files"].items():
+            identity, old = end["ids"].get(name, ""), start["ids"].get(name, "")
+            at = by_id.get(identity) if identity else start["files"].get(name, 0)
+            if at is None and old.startswith("head:") and self._is(name, size, old):
+                at = start["files"].get(name)  # the file was shorter when its identity was taken
+            found[name] = at if at is not None and at <= size else 0
+        return found
+
+    # ---- what Spark asks for
 
     def initialOffset(self) -> dict:
-        sizes = self._sizes() if self.from_end else {}
-        return {"files": sizes, "ids": {name: self._identity(name) for name in sizes}}
+        self.planned = None
+        sizes = self._sizes()
+        ids = self._identities(sizes)
+        self.planned = {"files": sizes if self.from_end else {}, "ids": ids if self.from_end else {}}
+        return self.planned
 
     def latestOffset(self) -> dict:
         """What a batch may read up to: the sizes now, within the bytes of one batch beyond the
-        batch planned before. After a restart the first batch has no such limit; its tasks have."""
+        batch planned before."""
         sizes = self._sizes()
-        ids = {name: self._identity(name) for name in sizes}
+        ids, now = self._identities(sizes), dict(sizes)
         if self.planned is not None:
-            starts = _starts(self.planned, {"files": sizes, "ids": ids})
+            starts = self._starts(self.planned, {"files": sizes, "ids": ids})
             left = self.per_batch
             # The least grown first: what a file does not need of its share goes to the others.
             for i, name in enumerate(sorted(sizes, key=lambda n: (sizes[n] - starts[n], n))):
                 grown = min(sizes[name] - starts[name], left // (len(sizes) - i))
                 sizes[name] = starts[name] + grown
                 left -= grown
-        self.planned = {"files": sizes, "ids": ids}
-        return self.planned
+        self.planned = {"files": sizes, "ids": ids, "sizes": now}
+        self._remember()
+        return {"files": sizes, "ids": ids}
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
         if self.planned is None:
             self.planned = end
         ranges = []
-        for name, at in _starts(start, end).items():
+        for name, at in self._starts(start, end).items():
             host, _, rest = name.partition("/")
             stop = end["files"][name]
             while at < stop:
@@ -124,6 +214,26 @@ class _Follower(DataSourceStreamReader):
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         return _read_lines(partition)
 
+    # ---- over a restart
+
+    def _remember(self) -> None:
+        if self.progress:
+            store, base = store_of(self.progress)
+            store.create_dir(base, recursive=True)
+            with store.open_output_stream(f"{base}/planned.new") as out:
+                out.write(json.dumps(self.planned).encode())
+            store.move(f"{base}/planned.new", f"{base}/planned")
+
+    def _recalled(self) -> dict | None:
+        if not self.progress:
+            return None
+        store, base = store_of(self.progress)
+        try:
+            with store.open_input_file(f"{base}/planned") as file:
+                return json.loads(file.read())
+        except FileNotFoundError:
+            return None
+
 
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
@@ -134,21 +244,6 @@ def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     return store, base.rstrip("/")
 
 
-def _starts(start: dict, end: dict) -> dict[str, int]:
-    """Where each file of ``end`` is read from. A renamed file goes on under its new name; a new
-    file under an old name, or one that got shorter, starts again."""
-    by_id = {i: start["files"][n] for n, i in start["ids"].items() if i and n in start["files"]}
-    found = {}
-    for name, size in end["files"].items():
-        identity = end["ids"].get(name, "")
-        if identity:
-            at = by_id.get(identity, 0)
-        else:
-            at = start["files"].get(name, 0)
-        found[name] = at if at <= size else 0
-    return found
-
-
 def _line_start(file, at: int) -> int:
     """The byte behind the last line end before ``at``."""
     while at > 0:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import reduce
 from typing import Any
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from skeinlog.functions.patterns import path_glob
+from skeinlog.functions.patterns import path_glob, value_glob
 from skeinlog.operators.events import to_events
 from skeinlog.operators.framing import RECORD_COLUMNS, frame, local_records
 from skeinlog.operators.predicates import EventFields, compile_query
 from skeinlog.operators.sinks import to_ndjson
 from skeinlog.plans.profile import Framing, LogInput, Profile
-from skeinlog.sources.lines import absolute, listed_as
+from skeinlog.sources.lines import absolute
 from skeinlog.streaming.follow import follow
 
 _RECORD = "host string, path string, blk bigint, mid bigint, value string"
@@ -99,8 +100,21 @@ def open_records(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-def _include(inp: LogInput, base_dir: str) -> str:
-    return "|".join(path_glob(absolute(glob, base_dir)).replace(r"\z", r"\Z") for glob in inp.path)
+def scopes(inp: LogInput, base_dir: str) -> list[dict]:
+    """The files of an input as the source's scopes: the same rule as ``sources.lines.listed_as``."""
+
+    def python(pattern: str) -> str:
+        return pattern.replace(r"\z", r"\Z")
+
+    base = absolute("", base_dir).rstrip("/") + "/"
+    return [
+        {
+            "include": python(path_glob(absolute(glob, base_dir))),
+            "base": "" if glob.startswith("/") else base,
+            "exclude": [python(value_glob(exclude)) for exclude in inp.exclude],
+        }
+        for glob in inp.path
+    ]
 
 
 def tail_input(
@@ -109,18 +123,19 @@ def tail_input(
     profile: Profile,
     inp: LogInput,
     flush_after_ms: int | None = None,
+    progress: str | None = None,
     **options: Any,
 ) -> DataFrame:
-    """The events of one input as they are appended."""
+    """The events of one input as they are appended. Only its hosts are listed, and only its files read."""
     lines = follow(
         spark,
         root,
-        include=_include(inp, profile.base_dir),
+        hosts=json.dumps(profile.hosts),
+        scope=json.dumps(scopes(inp, profile.base_dir)),
         startingPosition=inp.start_position,
+        progress=progress and f"{progress.rstrip('/')}/{inp.type}",
         **options,
-    ).where(F.col("host").isin(*profile.hosts))
-    if inp.exclude:
-        lines = lines.where(listed_as(F.col("path"), inp, profile.base_dir).isNotNull())
+    )
     records = stream_records(lines, inp.framing, flush_after_ms)
     return to_events(records, profile, inp, F.current_timestamp())
 
@@ -133,14 +148,16 @@ def tail(
     hosts: Any = None,
     filter_: Any = None,
     flush_after_ms: int | None = None,
+    progress: str | None = None,
     **options: Any,
 ) -> DataFrame:
     """Events of all scoped hosts and inputs in one stream, in no order between files. A filter
-    may be given. Rotated and new files are picked up with every batch."""
+    may be given. Rotated and new files are picked up with every batch. ``progress`` is a folder beside
+    the checkpoint that bounds the first batch after a restart."""
     scoped = profile.scope(type_, hosts)
     query = compile_query(filter_) if filter_ is not None else None
     parts = [
-        tail_input(spark, root, scoped, inp, flush_after_ms, **options) for inp in scoped.inputs
+        tail_input(spark, root, scoped, inp, flush_after_ms, progress, **options) for inp in scoped.inputs
     ]
     events = reduce(DataFrame.unionByName, parts)
     return events.where(query.column(EventFields())) if query is not None else events

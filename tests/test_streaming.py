@@ -113,7 +113,6 @@ def test_a_batch_is_planned_within_its_bytes(tmp_path):
         folder.write_bytes(b"0123456789\n" * 10)
     reader = _Follower({"path": str(tmp_path), "maxBytesPerBatch": "120", "maxBytesPerTask": "50"})
     start = reader.initialOffset()
-    reader.planned = start
     seen = []
     while True:
         end = reader.latestOffset()
@@ -134,5 +133,79 @@ def test_the_bytes_of_a_batch_are_shared_over_the_files(tmp_path):
         (tmp_path / "h1").mkdir(exist_ok=True)
         (tmp_path / "h1" / name).write_text("x" * (size - 1) + "\n")
     follower = _Follower({"path": str(tmp_path), "maxBytesPerBatch": "1000"})
-    follower.planned = follower.initialOffset()
+    follower.initialOffset()
     assert follower.latestOffset()["files"] == {"h1/a.log": 450, "h1/b.log": 100, "h1/c.log": 450}
+
+
+def planned(reader, start, end):
+    return sorted((p.path, p.start, p.end) for p in reader.partitions(start, end))
+
+
+@pytest.mark.parametrize("identity", [None, "content"])
+def test_a_file_is_known_by_its_identity(tmp_path, identity):
+    """Renamed, replaced by a longer one, cut, and grown from a few bytes: also where there is no inode."""
+    folder = tmp_path / "h"
+    folder.mkdir()
+
+    def put(name, text):
+        (folder / name).write_bytes(text.encode())
+
+    put("a.log", "a1\n" * 500)
+    put("b.log", "b\n")
+    put("c.log", "c1\n" * 20)
+    options = {"path": str(tmp_path), **({"identity": identity} if identity else {})}
+    reader = _Follower(options)
+    start = reader.initialOffset()
+    first = reader.latestOffset()
+    assert planned(reader, start, first) == [("/a.log", 0, 1500), ("/b.log", 0, 2), ("/c.log", 0, 60)]
+    os.rename(folder / "a.log", folder / "a.log.1")  # goes on under its new name
+    with open(folder / "a.log.1", "a") as out:
+        out.write("a2\n")
+    put("a.log", "new\n" * 900)  # a longer file under the old name
+    with open(folder / "b.log", "a") as out:
+        out.write("b2\n" * 1000)
+    os.remove(folder / "c.log")
+    put("c.log", "other\n")
+    second = reader.latestOffset()
+    wanted = [("/a.log", 0, 3600), ("/a.log.1", 1500, 1503), ("/b.log", 2, 3002), ("/c.log", 0, 6)]
+    assert planned(reader, first, second) == wanted
+    # A reader that begins again knows the files by the offset alone.
+    again = _Follower(options)
+    assert planned(again, first, again.latestOffset()) == wanted
+    assert planned(reader, second, reader.latestOffset()) == []
+
+
+def test_the_first_batch_is_bounded_also_after_a_restart(tmp_path):
+    folder = tmp_path / "in" / "h"
+    folder.mkdir(parents=True)
+    (folder / "a").write_bytes(b"0123456789\n" * 100)
+    options = {"path": str(tmp_path / "in"), "maxBytesPerBatch": "200", "progress": str(tmp_path / "progress")}
+    reader = _Follower(options)
+    at, total = reader.initialOffset(), 0
+    for _ in range(20):
+        end = reader.latestOffset()
+        grown = sum(p.end - p.start for p in reader.partitions(at, end))
+        assert grown <= 200
+        total, at, reader = total + grown, end, _Follower(options)
+    assert total == 1100
+
+
+def test_hosts_and_excludes_are_not_listed_or_read(run):
+    for host in ("h1", "h2", "h3"):
+        run.put(host, "/logs/a.log", f"{host}\n")
+        run.put(host, "/logs/skip.log", "excluded\n")
+    run.put("h1", "/other/b.log", "absolute\n")
+    profile = profile_from_dict("p", {"hosts": ["h1", "h2"], "base_dir": "/logs", "inputs": [
+        {"type": "t", "path": ["*.log"], "exclude": ["sk*"], "start_position": "beginning"},
+        {"type": "u", "path": ["/other/*.log"], "exclude": ["b*"], "start_position": "beginning"},
+    ]})
+    assert run(profile, hosts="h1") == [("h1", "/logs/a.log", "h1"), ("h1", "/other/b.log", "absolute")]
+
+
+def test_scope_of_the_reader(tmp_path):
+    for name in ("h1/logs/a.log", "h1/logs/b.log", "h2/logs/a.log", "h1/logs/.hidden.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x\n")
+    scope = [{"include": r"\A/logs/[^/]*\.log\Z", "base": "/logs/", "exclude": [r"\Ab"]}]
+    reader = _Follower({"path": str(tmp_path), "hosts": '["h1", "h9"]', "scope": json.dumps(scope)})
+    assert reader._sizes() == {"h1/logs/a.log": 2}
