@@ -1120,14 +1120,14 @@ def event_table_search(spark, sf_dir):
     return _shown(search_events(sinks.read_event_table(spark, path), filter_))
 
 
-def _write_logs(spark, sf_dir, root: str, mode: str = "append", part: int | None = None) -> None:
+def _write_logs(spark, sf_dir, root: str, mode: str = "append", part: int | None = None, name: str = "events") -> None:
     """The events as JSON log files below one directory per host."""
     rows = tables.event_rows(spark, sf_dir)
     if part is not None:
         rows = rows.where(F.col("event_id") % 2 == part)
     for host in PROFILE.hosts:
         lines = rows.where(F.col("host") == host).select(F.to_json(tables.event_object()).alias("value"))
-        lines.write.mode(mode).text(f"{root}/{host}/logs/events")
+        lines.write.mode(mode).text(f"{root}/{host}/logs/{name}")
 
 
 _FILES_PROFILE = profile_from_dict(
@@ -1303,6 +1303,36 @@ def stream_follow(spark, sf_dir):
     )
 
 
+@query(
+    f"select event_id, 'events' as dataset, 'h1' as host_name, {_TIME} as event_time from events where user_id % 4 = 1 "
+    f"union all select event_id, 'late', 'h1', {_TIME} from events where user_id % 4 = 1 and event_id % 2 = 1"
+)
+def stream_scoped(spark, sf_dir):
+    """Two inputs in one stream, of one of the hosts: one from the beginning without what it excludes, and
+    one that starts at the end of the files that are there. The second run goes on in small batches."""
+    root = tables.scratch(spark)
+    profile = profile_from_dict(
+        "shop",
+        {
+            "hosts": list(PROFILE.hosts), "base_dir": "/logs",
+            "inputs": [
+                {"type": "events", "path": ["events*/part-*"], "exclude": ["events_old/*"], "codec": "json", "start_position": "beginning"},
+                {"type": "late", "path": ["late/part-*"], "codec": "json", "start_position": "end"},
+            ],
+        },
+    )
+    for part in (0, 1):
+        for name in ("events", "late", "events_old"):
+            _write_logs(spark, sf_dir, f"{root}/in", part=part, name=name)
+        events = tail(spark, f"{root}/in", profile, hosts="h1", progress=f"{root}/progress", maxBytesPerTask=1 << 20)
+        write_stream(events, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
+    schema = "event_id bigint, `@timestamp` string, host struct<name: string>, event struct<dataset: string>"
+    found = spark.read.schema(schema).json(f"{root}/out")
+    return found.select(
+        "event_id", F.col("event.dataset").alias("dataset"), F.col("host.name").alias("host_name"), F.col("@timestamp").alias("event_time")
+    )
+
+
 @query(
     "with docs as (select doc_id, '#doc ' || doc_id || chr(10) || text as t from documents), "
     "lines as (select doc_id, unnest(string_split(t, chr(10))) as value, "
