@@ -1,6 +1,7 @@
 """Components of near copies against a plain version: families at the threshold, long lists, jobs of blocks."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -10,10 +11,12 @@ from skeinlog.llm import neardup
 DOCS = "doc_id long, text string, list int, node int, digest string"
 
 
-def plain(rows, similarity=75):
+def plain_rows(rows, similarity=75):
+    """(doc_id, number of shingles, component) of each row, in the rows' order."""
+
     def shingles(text):
         lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-        words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", lowered) if w]
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", lowered) if w]
         return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
     sets = [shingles(t) for _, t in rows]
@@ -32,7 +35,11 @@ def plain(rows, similarity=75):
     least = {}
     for k in named:
         least[top(k)] = min(least.get(top(k), rows[k][0]), rows[k][0])
-    return sorted(str((i, len(s), None if i is None else least[top(k)])) for k, ((i, _), s) in enumerate(zip(rows, sets)))
+    return [(i, len(s), None if i is None else least[top(k)]) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+
+
+def plain(rows):
+    return sorted(map(str, plain_rows(rows)))
 
 
 def found(spark, rows):
