@@ -1362,10 +1362,10 @@ def stream_multiline(spark, sf_dir):
             ],
         },
     )
-    events = tail(spark, f"{root}/in", profile, maxBytesPerTask=1 << 20)
+    events = tail(spark, f"{root}/in", profile, progress=f"{root}/progress", maxBytesPerTask=1 << 20)
     write_stream(events, f"{root}/out", f"{root}/checkpoint", available_now=True).awaitTermination()
     closed = spark.read.schema("message string").json(f"{root}/out").select(F.col("message").alias("value"))
-    still_open = open_records(spark, f"{root}/checkpoint").select("value")
+    still_open = open_records(spark, f"{root}/in", profile, "docs", f"{root}/progress").select("value")
     return closed.unionByName(still_open).groupBy("value").agg(F.count("*").alias("n"))
 
 

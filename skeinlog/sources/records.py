@@ -95,9 +95,11 @@ def _whole_line(file, at: int, tail: bytes, delimiter: bytes) -> bytes:
 
 
 def read_range(
-    file, start: int, end: int, rule: LineRule, keep: Callable[[str], bool] | None = None, block: int = _BLOCK
+    file, start: int, end: int, rule: LineRule, keep: Callable[[str], bool] | None = None, block: int = _BLOCK,
+    opens: bool = False,
 ) -> Iterator[tuple[int, str]]:
-    """(first byte, text) of the records whose first line starts in the bytes [start, end)."""
+    """(first byte, text) of the records whose first line starts in the bytes [start, end). ``opens``: the
+    line at ``start`` begins a record, whatever it is."""
     triggered, previous = rule.triggers(), rule.what == "previous"
     first, held = 0, None  # the open record: its first byte and, unless it is let go, its lines
     inside = False  # whether a record of this range is open
@@ -112,7 +114,7 @@ def read_range(
                 joins = not previous and triggered(_whole_line(file, at, line, rule.delimiter))
                 continue
             hit = triggered(line)
-            if at == 0 or not (hit if previous else joins):
+            if at == 0 or (opens and at == start) or not (hit if previous else joins):
                 if held is not None:
                     yield first, rule.delimiter.join(held).decode("utf-8", "replace")
                 if at >= end:
@@ -128,6 +130,58 @@ def read_range(
         yield first, rule.delimiter.join(held).decode("utf-8", "replace")
 
 
+def last_border(file, start: int, end: int, rule: LineRule, step: int = 64 << 10) -> int:
+    """The last byte up to ``end`` at which a record begins after others are closed; ``start`` if there is
+    none behind it. Only lines that end by ``end`` count. Read from the end on, as far as is needed."""
+    triggered, delimiter = rule.triggers(), rule.delimiter
+    while True:
+        begin = max(start, end - step)
+        data = file.read_at(end - begin, begin)
+        at = begin
+        if begin > start:  # the first line may have begun before
+            cut = data.find(delimiter) + len(delimiter)
+            at, data = (begin + cut, data[cut:]) if cut >= len(delimiter) else (end, b"")
+        lines = data.split(delimiter)[:-1]
+        place = at + sum(len(line) + len(delimiter) for line in lines)
+        for line in reversed(lines):
+            first = place - len(line) - len(delimiter)
+            border = (first if rule.what == "previous" else place) if not triggered(line) else start
+            if border > start:
+                return border
+            place = first
+        if begin == start:
+            return start
+        step *= 2
+
+
+def next_border(file, start: int, end: int, size: int, rule: LineRule) -> int:
+    """The first such byte behind ``end``, for a record that is longer than the bytes up to there; ``start``
+    if it isn't closed."""
+    triggered, begin = rule.triggers(), max(start, end - len(rule.delimiter))
+    for starts, lines in _lines(file, begin, rule.delimiter, _BLOCK):
+        for at, line in zip(starts.tolist(), lines):
+            place = at + len(line) + len(rule.delimiter)
+            if place > size:
+                return start
+            if rule.what == "next" and not triggered(_whole_line(file, at, line, rule.delimiter) if at == begin else line):
+                return place
+            if rule.what == "previous" and at > begin and not triggered(line):
+                return at
+    return start
+
+
+def complete_end(file, start: int, end: int, delimiter: bytes, step: int = 64 << 10) -> int:
+    """The end of the last line that ends by ``end``; ``start`` if none does."""
+    while True:
+        begin = max(start, end - step)
+        found = file.read_at(end - begin, begin).rfind(delimiter)
+        if found >= 0:
+            return begin + found + len(delimiter)
+        if begin == start:
+            return start
+        step *= 2
+
+
 def seekable(root: str) -> bool:
     """Whether tasks can open files of this store by themselves."""
     try:
@@ -154,7 +208,8 @@ def range_records(
                 except FileNotFoundError:
                     continue  # rotated away since it was listed
                 with file:
-                    yield from _batches(read_range(file, row["start"], row["end"], rule, keep), row)
+                    found = read_range(file, row["start"], row["end"], rule, keep)
+                    yield from record_batches(found, row["host"], row["path"], row["start"])
 
     ends = F.least(F.col("start") + F.lit(range_bytes), F.col("length"))
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
@@ -165,12 +220,12 @@ def range_records(
     return ranges.repartition(max(1, min(int(count), MAX_TASKS))).mapInArrow(read, _RECORDS)
 
 
-def _batches(records: Iterator[tuple[int, str]], row: dict) -> Iterator[pa.RecordBatch]:
+def record_batches(records: Iterator[tuple[int, str]], host: str, path: str, blk: int) -> Iterator[pa.RecordBatch]:
     places, texts, chars = [], [], 0
 
     def batch() -> pa.RecordBatch:
         n = len(texts)
-        columns = [[row["host"]] * n, [row["path"]] * n, [row["start"]] * n, places, texts]
+        columns = [[host] * n, [path] * n, [blk] * n, places, texts]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
 

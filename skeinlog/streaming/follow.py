@@ -9,7 +9,12 @@ its first bytes and how many these are. So a renamed file goes on where it was,
 old name, longer or not, is read from its start. First bytes are read of files that are new or have
 grown only.
 
-A batch reads at most ``maxBytesPerBatch``, the first one too. After a restart this holds where
+With a line rule the source gives multi-line records. The offset of a file then stands at the start of
+its open record, so a batch is made of whole records: its tasks read byte ranges as a batch job does, and
+there is no state and no shuffle. The open record is closed by the line that begins the next one, when the
+file is renamed, or after ``flushAfterMs`` without a new byte.
+
+A batch reads at most ``maxBytesPerBatch``, the first one too, and a longer record in a batch of its own. After a restart this holds where
 ``progress`` names a folder in which the source keeps what it planned last; Spark doesn't tell a source
 the committed offset before it asks for the next.
 """
@@ -19,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,14 +48,16 @@ class _Range(InputPartition):
     path: str
     start: int
     end: int
+    opens: bool = False
 
 
 class AppendedLines(DataSource):
     """Options: ``path`` (root with one directory per host), ``hosts`` (a JSON list, default all),
     ``scope`` (a JSON list of ``include`` and ``exclude`` regular expressions, see :class:`Scope`, default
     all files), ``startingPosition`` (beginning or end), ``maxBytesPerBatch`` (default 1 GiB),
-    ``maxBytesPerTask`` (default 64 MiB), ``progress`` (a folder, default none) and ``identity``
-    (``content`` also on local disks)."""
+    ``maxBytesPerTask`` (default 64 MiB), ``progress`` (a folder, default none), ``identity``
+    (``content`` also on local disks), ``rule`` (a JSON object: pattern, negate, what and delimiter of
+    multi-line records, default lines) and ``flushAfterMs`` (default never)."""
 
     @classmethod
     def name(cls) -> str:
@@ -91,6 +99,8 @@ class _Follower(DataSourceStreamReader):
         self.per_task = int(options.get("maxBytesPerTask", 64 << 20))
         self.by_content = options.get("identity") == "content"
         self.progress = options.get("progress")
+        self.rule = line_rule(json.loads(options["rule"])) if options.get("rule") else None
+        self.flush_after = int(options.get("flushAfterMs", 0))
         self.planned: dict | None = self._recalled()
 
     # ---- what there is
@@ -190,9 +200,51 @@ class _Follower(DataSourceStreamReader):
                 grown = min(sizes[name] - starts[name], left // (len(sizes) - i))
                 sizes[name] = starts[name] + grown
                 left -= grown
-        self.planned = {"files": sizes, "ids": ids, "sizes": now}
+        offset = {"files": sizes, "ids": ids}
+        if self.rule is not None:
+            offset["opens"] = self._at_borders(sizes, ids, now)
+        self.planned = {**offset, "sizes": now, "since": self._since(now)}
         self._remember()
-        return {"files": sizes, "ids": ids}
+        return offset
+
+    def _since(self, now: dict[str, int]) -> dict[str, list]:
+        """For each file its size and since when, in milliseconds, it has had it."""
+        before, clock = (self.planned or {}).get("since", {}), int(time.time() * 1000)
+        return {n: before[n] if before.get(n, [None])[0] == size else [size, clock] for n, size in now.items()}
+
+    def _at_borders(self, sizes: dict[str, int], ids: dict[str, str], now: dict[str, int]) -> list[str]:
+        """Move the ends in ``sizes`` to borders of records. Returns the files whose next line begins a
+        record, whatever it is, as their open record was closed without a successor."""
+        from skeinlog.sources.records import complete_end, last_border, next_border
+
+        before = self.planned or {"files": {}, "ids": {}}
+        starts, since = self._starts(before, {"files": now, "ids": ids}), self._since(now)
+        store, base = store_of(self.root)
+        opens = []
+        for name, limit in sizes.items():
+            at, whole = starts[name], limit == now[name]
+            if at >= now[name]:
+                sizes[name] = at
+                opens += [name] if name in before.get("opens", ()) else []
+                continue
+            # What is left of a renamed file gets no successor; nor, by intention, what has rested long enough.
+            renamed = name not in before["files"] and ids[name] in before["ids"].values()
+            rested = self.flush_after and time.time() * 1000 - since[name][1] >= self.flush_after
+            try:
+                with store.open_input_file(f"{base}/{name}") as file:
+                    end = last_border(file, at, limit, self.rule)
+                    if end <= at and not whole:
+                        end = next_border(file, at, limit, now[name], self.rule)
+                    if whole and (renamed or rested):
+                        flushed = complete_end(file, max(at, end), limit, self.rule.delimiter)
+                        opens += [name] if flushed > end else []
+                        end = max(end, flushed)
+            except FileNotFoundError:
+                end = at
+            sizes[name] = end
+            if end == at and name in before.get("opens", ()) and name not in opens:
+                opens.append(name)
+        return opens
 
     def partitions(self, start: dict, end: dict) -> list[_Range]:
         if self.planned is None:
@@ -203,7 +255,8 @@ class _Follower(DataSourceStreamReader):
             stop = end["files"][name]
             while at < stop:
                 cut = min(at + self.per_task, stop)
-                ranges.append(_Range(f"{self.root.rstrip('/')}/{name}", host, "/" + rest, at, cut))
+                opens = at == start["files"].get(name) and name in start.get("opens", ())
+                ranges.append(_Range(f"{self.root.rstrip('/')}/{name}", host, "/" + rest, at, cut, opens))
                 at = cut
         return ranges
 
@@ -212,7 +265,7 @@ class _Follower(DataSourceStreamReader):
             self.planned = end
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        return _read_lines(partition)
+        return _read_lines(partition) if self.rule is None else _read_records(partition, self.rule)
 
     # ---- over a restart
 
@@ -235,6 +288,26 @@ class _Follower(DataSourceStreamReader):
             return None
 
 
+def line_rule(spec: dict):
+    from skeinlog.sources.records import LineRule
+
+    return LineRule(spec["pattern"], spec["negate"], spec["what"], spec["delimiter"].encode())
+
+
+def _read_records(part: _Range, rule) -> Iterator[pa.RecordBatch]:
+    """The records that begin in the range; all of them are closed before the batch ends."""
+    from skeinlog.sources.records import read_range, record_batches
+
+    store, path = store_of(part.file)
+    try:
+        file = store.open_input_file(path)
+    except FileNotFoundError:
+        return  # rotated away since the batch was planned
+    with file:
+        found = read_range(file, part.start, part.end, rule, opens=part.opens)
+        yield from record_batches(found, part.host, part.path, part.start)
+
+
 def store_of(uri: str) -> tuple[fs.FileSystem, str]:
     if "://" not in uri and not uri.startswith("file:"):
         uri = "file://" + uri

@@ -7,97 +7,45 @@ from collections.abc import Iterator
 from functools import reduce
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skeinlog.functions.patterns import path_glob, value_glob
 from skeinlog.operators.events import to_events
-from skeinlog.operators.framing import RECORD_COLUMNS, frame, local_records
+from skeinlog.operators.framing import frame
 from skeinlog.operators.predicates import EventFields, compile_query
 from skeinlog.operators.sinks import to_ndjson
-from skeinlog.plans.profile import Framing, LogInput, Profile
+from skeinlog.plans.profile import LogInput, Profile
 from skeinlog.sources.lines import absolute
-from skeinlog.streaming.follow import follow
-
-_RECORD = "host string, path string, blk bigint, mid bigint, value string"
-_OPEN = "blk bigint, mid bigint, value string, joins_on boolean"
-_SHARDS = 64
-
-
-def _stitcher(flush_after_ms: int | None):
-    """The per-file step of multi-line framing. State: the last record of a file, which may still
-    grow. Records in the middle of a byte range are complete; they pass in other groups."""
-    columns = list(RECORD_COLUMNS)
-
-    def step(key, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        host, path, shard = key
-        if shard >= 0:
-            for pdf in pieces:
-                yield pdf[columns]
-            return
-        open_record = state.get if state.exists else None
-        done = []
-        if state.hasTimedOut:
-            done, open_record = [open_record], None
-        else:
-            arrived = pd.concat(list(pieces)).sort_values(["blk", "mid"])  # a shuffle keeps no order
-            for row in arrived[["blk", "mid", "value", "joins_on", "joins_back"]].itertuples(index=False):
-                if open_record is not None and open_record[3] and row.joins_back:
-                    text = f"{open_record[2]}\n{row.value}"
-                    open_record = (open_record[0], open_record[1], text, bool(row.joins_on))
-                else:
-                    if open_record is not None:
-                        done.append(open_record)
-                    open_record = (int(row.blk), int(row.mid), row.value, bool(row.joins_on))
-                if not open_record[3]:
-                    done.append(open_record)
-                    open_record = None
-        if open_record is not None:
-            state.update(open_record)
-            if flush_after_ms:
-                state.setTimeoutDuration(flush_after_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame([(host, path, *r[:3]) for r in done], columns=columns)
-
-    return step
-
-
-def stream_records(lines: DataFrame, framing: Framing, flush_after_ms: int | None = None) -> DataFrame:
-    """Records of a streaming lines table. Plain and JSON lines need no state. Multi-line records
-    are joined inside each byte range first; only a range's first and last record go to the
-    file's state, the others are spread, so that a file with most of the lines stays parallel.
-
-    A file's last record stays open until its successor or, with ``flush_after_ms``, that time
-    without a new line; :func:`open_records` shows what is open at the end of a run.
-    """
-    if framing.codec != "multiline":
-        return frame(lines.withColumn("whole", F.lit(False)), framing)
-    pieces = local_records(lines.withColumn("whole", F.lit(False)), framing)
-    border = F.col("is_first") | F.col("is_last")
-    shard = F.when(border, -1).otherwise(F.pmod(F.hash("blk", "mid"), F.lit(_SHARDS)))
-    return (
-        pieces.withColumn("shard", shard)
-        .groupBy("host", "path", "shard")
-        .applyInPandasWithState(
-            _stitcher(flush_after_ms),
-            _RECORD,
-            _OPEN,
-            "append",
-            "ProcessingTimeTimeout" if flush_after_ms else "NoTimeout",
-        )
-    )
-
-
-def open_records(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The records still open in the state of a stopped multi-line run, as a records table: what
-    a follower flushes when its stream ends."""
-    state = spark.read.format("statestore").load(checkpoint)
-    return state.select(
-        "key.host", "key.path", "value.groupState.blk", "value.groupState.mid", "value.groupState.value"
-    )
+from skeinlog.sources.records import cuttable, record_batches
+from skeinlog.streaming.follow import follow, store_of
+
+def open_records(spark: SparkSession, root: str, profile: Profile, type_: str, progress: str) -> DataFrame:
+    """The multi-line records that are still open where a stopped run has come to, as a records table:
+    what a follower flushes when its stream ends."""
+    store, base = store_of(f"{progress.rstrip('/')}/{type_}")
+    with store.open_input_file(f"{base}/planned") as file:
+        files = json.loads(file.read())["files"]
+    delimiter = profile.input(type_).framing.delimiter.encode()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, path = store_of(f"{root.rstrip('/')}/{row['name']}")
+                host, _, rest = row["name"].partition("/")
+                try:
+                    with store.open_input_file(path) as file:
+                        data = file.read_at(max(0, file.size() - row["at"]), row["at"])
+                except FileNotFoundError:
+                    continue
+                whole = data[: data.rfind(delimiter)] if delimiter in data else None
+                found = [(row["at"], whole.decode("utf-8", "replace"))] if whole is not None else []
+                yield from record_batches(iter(found), host, "/" + rest, row["at"])
+
+    rows = spark.createDataFrame(list(files.items()), "name string, at long")
+    return rows.mapInArrow(read, "host string, path string, blk long, mid long, value string")
 
 
 def scopes(inp: LogInput, base_dir: str) -> list[dict]:
@@ -127,16 +75,23 @@ def tail_input(
     **options: Any,
 ) -> DataFrame:
     """The events of one input as they are appended. Only its hosts are listed, and only its files read."""
-    lines = follow(
+    framing, rule = inp.framing, None
+    if framing.codec == "multiline":
+        if not cuttable(framing):
+            raise ValueError(f"the delimiter of a followed multi-line input may not overlap itself: {framing.delimiter!r}")
+        rule = json.dumps({k: getattr(framing, k) for k in ("pattern", "negate", "what", "delimiter")})
+    found = follow(
         spark,
         root,
         hosts=json.dumps(profile.hosts),
         scope=json.dumps(scopes(inp, profile.base_dir)),
         startingPosition=inp.start_position,
         progress=progress and f"{progress.rstrip('/')}/{inp.type}",
+        rule=rule,
+        flushAfterMs=flush_after_ms,
         **options,
     )
-    records = stream_records(lines, inp.framing, flush_after_ms)
+    records = found if rule else frame(found.withColumn("whole", F.lit(False)), framing)
     return to_events(records, profile, inp, F.current_timestamp())
 
 
@@ -166,8 +121,7 @@ def tail(
 def write_stream(
     events: DataFrame, path: str, checkpoint: str, available_now: bool = False, **trigger: Any
 ) -> StreamingQuery:
-    """Append a stream of events as JSON lines. The checkpoint holds the offsets and the open
-    records; a run that starts again from it neither loses nor repeats a line."""
+    """Append a stream of events as JSON lines. The checkpoint holds the offsets; a run that starts again from it neither loses nor repeats a line."""
     writer = (
         to_ndjson(events)
         .writeStream.format("text")

@@ -27,7 +27,7 @@ def run(spark, log_root, tmp_path):
         rows = [json.loads(r.value) for r in spark.read.text(out).collect()]
         return sorted((e["host"]["name"], e["log"]["file"]["path"], e["message"]) for e in rows)
 
-    go.put, go.root, go.checkpoint = put, root, checkpoint
+    go.put, go.root, go.progress = put, root, str(tmp_path / "progress")
     return go
 
 
@@ -63,10 +63,10 @@ def test_multiline_state_over_batches(run, spark):
         ("h1", "/logs/a.log", "2026 one\n a"),
         ("h1", "/logs/a.log", "2026 two\n" + long_record.rstrip("\n")),
     ]
-    assert run(profile, maxBytesPerTask=40) == one_two
+    assert run(profile, maxBytesPerTask=40, progress=run.progress) == one_two
     run.put("h1", "/logs/a.log", " c\n2026 four\n")
-    assert run(profile) == sorted([*one_two, ("h1", "/logs/a.log", "2026 three\n b\n c")])
-    rest = open_records(spark, run.checkpoint).collect()
+    assert run(profile, progress=run.progress) == sorted([*one_two, ("h1", "/logs/a.log", "2026 three\n b\n c")])
+    rest = open_records(spark, run.root, profile, "t", run.progress).collect()
     assert [(r.host, r.path, r.value) for r in rest] == [("h1", "/logs/a.log", "2026 four")]
 
 
@@ -209,3 +209,77 @@ def test_scope_of_the_reader(tmp_path):
     scope = [{"include": r"\A/logs/[^/]*\.log\Z", "base": "/logs/", "exclude": [r"\Ab"]}]
     reader = _Follower({"path": str(tmp_path), "hosts": '["h1", "h9"]', "scope": json.dumps(scope)})
     assert reader._sizes() == {"h1/logs/a.log": 2}
+
+
+RULE = {"pattern": "^2026", "negate": True, "what": "previous", "delimiter": "\n"}
+
+
+def records(reader, start, end):
+    return [r["value"] for p in reader.partitions(start, end) for b in reader.read(p) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("what", ["previous", "next"])
+@pytest.mark.parametrize("budget", [1, 30, 10_000])
+def test_offsets_stand_at_borders_of_records(tmp_path, what, budget):
+    rng = random.Random(budget)
+    rule = RULE if what == "previous" else {"pattern": r"\\$", "negate": False, "what": "next", "delimiter": "\n"}
+    file = tmp_path / "h" / "a"
+    file.parent.mkdir()
+    file.touch()
+    reader = _Follower({"path": str(tmp_path), "rule": json.dumps(rule), "maxBytesPerBatch": str(budget), "maxBytesPerTask": "7"})
+    at, got, lines = reader.initialOffset(), [], []
+    for _ in range(25):
+        for _ in range(rng.randrange(6)):
+            tail_ = "\\" if what == "next" and rng.random() < 0.6 else ""
+            lines.append(rng.choice(["2026 ", "", "é", "x" * rng.randrange(60)]) + str(len(lines)) + tail_)
+        file.write_text("".join(line + "\n" for line in lines) + "cut off")
+        end = reader.latestOffset()
+        got += records(reader, at, end)
+        at = end
+    for _ in range(3000):
+        end = reader.latestOffset()
+        if end == at:
+            break
+        got += records(reader, at, end)
+        at = end
+    from skeinlog.plans.profile import Framing
+    from tests.test_framing import joined
+
+    framing = Framing("multiline", pattern=rule["pattern"], negate=rule["negate"], what=what)
+    wanted = joined(lines, framing)
+    still_open = what == "previous" or lines[-1].endswith("\\")
+    assert got == (wanted[:-1] if still_open else wanted)
+
+
+def test_renamed_and_resting_records_are_closed(tmp_path, monkeypatch):
+    import skeinlog.streaming.follow as F
+
+    clock = [1000.0]
+    monkeypatch.setattr(F.time, "time", lambda: clock[0])
+    file = tmp_path / "h" / "a.log"
+    file.parent.mkdir()
+    file.write_text("2026 one\n a\n2026 two\n b\n")
+    reader = _Follower({"path": str(tmp_path), "rule": json.dumps(RULE), "flushAfterMs": "5000"})
+    offsets = [reader.initialOffset()]
+
+    def step(after=0.0):
+        clock[0] += after
+        offsets.append(reader.latestOffset())
+        return records(reader, offsets[-2], offsets[-1])
+
+    assert step() == ["2026 one\n a"]
+    assert step(2) == [] and step(4) == ["2026 two\n b"] and step(9) == []
+    with open(file, "a") as out:
+        out.write(" late\n more\n2026 three\n")
+    assert step() == [" late\n more"]  # what a flush has cut off begins a record
+    os.rename(file, tmp_path / "h" / "a.log.1")
+    file.write_text("2026 new\n")
+    assert step() == ["2026 three"]
+    assert step(6) == ["2026 new"] and step() == []
+
+
+def test_a_multiline_stream_keeps_no_state(run, spark):
+    run.put("h1", "/logs/a.log", "2026 one\n")
+    events = tail(spark, run.root, job(codec={"multiline": {"pattern": "^2026", "negate": True}}))
+    plan = events._jdf.queryExecution().analyzed().toString()
+    assert "WithState" not in plan and "Exchange" not in plan and "MapInArrow" not in plan
