@@ -16,7 +16,7 @@ from skeinlog.operators.framing import RECORD_COLUMNS, frame, local_records
 from skeinlog.operators.summary import examples, summarize
 from skeinlog.plans.profile import Framing, Profile
 from skeinlog.plans.search import read_events
-from skeinlog.sources.inventory import assign_inputs, list_files, missing_hosts
+from skeinlog.sources.inventory import assign_inputs, list_files, missing_hosts, reachable
 from skeinlog.sources.samples import is_compressed, sample_lines, scanned_sample
 
 
@@ -51,7 +51,7 @@ def discover_fields(
 ) -> Discovery:
     """Which fields the events have. ``sample`` is the number of last lines per file; None reads
     everything. Hosts with files count as sampled even if they gave no event."""
-    scoped = profile.scope(type_, hosts)
+    scoped, problems = reachable(spark, root, profile.scope(type_, hosts))
     collected = collected or datetime.now(timezone.utc)
     files = list_files(spark, root, scoped)
     if sample is None:
@@ -69,4 +69,4 @@ def discover_fields(
     catalog = summarize(events, max_depth).persist()
     reached = files.select("host").distinct()
     report = field_caps(catalog, examples(catalog), reached)
-    return Discovery(report, catalog, missing_hosts(files, scoped))
+    return Discovery(report, catalog, missing_hosts(files, scoped, problems))

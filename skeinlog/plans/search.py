@@ -16,7 +16,7 @@ from skeinlog.operators.predicates import EventFields, Query, compile_query
 from skeinlog.operators.prefilter import file_condition, line_condition, record_window, text_in_window
 from skeinlog.operators.sinks import to_ndjson
 from skeinlog.plans.profile import LogInput, Profile
-from skeinlog.sources.inventory import assign_inputs, input_files, list_files, missing_hosts
+from skeinlog.sources.inventory import assign_inputs, input_files, list_files, missing_hosts, reachable
 from skeinlog.sources.lines import input_lines, raw_files
 from skeinlog.sources.records import cuttable, range_records, seekable
 from skeinlog.sources.samples import is_compressed
@@ -162,9 +162,10 @@ def search(
     collected: datetime | None = None,
 ) -> SearchResult:
     """Search the log files below ``root/<host>/``. A bad filter, host or type raises before
-    anything is read; hosts without files are reported and the others still searched."""
+    anything is read; hosts without files, or whose directories can't be listed, are reported and the
+    others still searched."""
     query = compile_query(filter_)
-    scoped = profile.scope(type_, hosts)
+    scoped, problems = reachable(spark, root, profile.scope(type_, hosts))
     files = list_files(spark, root, scoped)
     events = read_events(spark, root, scoped, collected, query, prefilter)
     matches = Observation("matches")
@@ -172,7 +173,7 @@ def search(
     return SearchResult(
         found.observe(matches, F.count(F.lit(1)).alias("matches")),
         files_to_read(files, scoped, query, prefilter),
-        missing_hosts(files, scoped),
+        missing_hosts(files, scoped, problems),
         matches,
     )
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinlog.plans.profile import LogInput, Profile
-from skeinlog.sources.lines import file_host, file_path, host_paths, in_scope, listed_as
+from skeinlog.sources.lines import absolute, file_host, file_path, host_paths, in_scope, listed_as
 
 
 def list_files(spark: SparkSession, root: str, profile: Profile) -> DataFrame:
@@ -72,10 +76,41 @@ def discover(files: DataFrame, profile: Profile) -> DataFrame:
     )
 
 
-def missing_hosts(files: DataFrame, profile: Profile) -> DataFrame:
-    """Hosts of the profile without any file, with a reason; the others are not affected."""
-    hosts = files.sparkSession.createDataFrame([(h,) for h in profile.hosts], "host string")
+def missing_hosts(files: DataFrame, profile: Profile, problems: dict[str, str] | None = None) -> DataFrame:
+    """Hosts of the profile without any file, with a reason; the others are not affected. ``problems`` are
+    the reasons of hosts that were not read at all."""
+    spark = files.sparkSession
+    hosts = spark.createDataFrame([(h,) for h in profile.hosts], "host string")
     seen = files.select("host").distinct()
-    return hosts.join(seen, "host", "left_anti").select(
+    none = hosts.join(seen, "host", "left_anti").select(
         "host", F.lit("no directory or no file for this host").alias("reason")
     )
+    return none.unionByName(spark.createDataFrame(list((problems or {}).items()), "host string, reason string"))
+
+
+def listing_problem(spark: SparkSession, uri: str) -> str | None:
+    """Why a directory can't be listed, or None. A missing directory is no problem: it has no files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    try:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    except Py4JJavaError as error:
+        cause = error.java_exception
+        kind = cause.getClass().getSimpleName()
+        return None if kind == "FileNotFoundException" else f"{kind}: {cause.getMessage()}"
+    return None
+
+
+def reachable(spark: SparkSession, root: str, profile: Profile) -> tuple[Profile, dict[str, str]]:
+    """The profile with the hosts whose directories can be listed, and the reasons of the others. One
+    listing for each host's directory and base directory, many at a time."""
+
+    def problem(host: str) -> str | None:
+        top = f"{root.rstrip('/')}/{host}"
+        return listing_problem(spark, top) or listing_problem(spark, top + absolute("", profile.base_dir).rstrip("/"))
+
+    with ThreadPoolExecutor(16) as pool:
+        found = dict(zip(profile.hosts, pool.map(problem, profile.hosts)))
+    problems = {host: reason for host, reason in found.items() if reason is not None}
+    if problems and len(problems) == len(found):
+        raise OSError(f"no host can be read: {problems}")
+    return replace(profile, hosts=tuple(h for h in profile.hosts if h not in problems)), problems

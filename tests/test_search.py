@@ -267,3 +267,27 @@ def test_window_keeps_lines_whose_time_it_cannot_read(lines_of):
     ]
     kept = lines_in_window(lines_of(lines), Window(FIVE)).orderBy("mid")
     assert [r.value for r in kept.collect()] == [lines[0], *lines[3:]]
+
+
+def test_a_host_that_cannot_be_read_is_reported(spark, root, monkeypatch):
+    from skeinlog.sources import inventory
+
+    listed = inventory.listing_problem
+
+    def problem(session, uri):
+        return "AccessControlException: Permission denied" if "/h2" in uri else listed(session, uri)
+
+    monkeypatch.setattr(inventory, "listing_problem", problem)
+    rows, result = found(spark, root, {"match_all": {}}, type_="audit")
+    assert {h for h, _ in rows} == {"h1"} and len(rows) == 20
+    assert sorted((r.host, r.reason.split()[0]) for r in result.missing.collect()) == [("h2", "AccessControlException:"), ("h9", "no")]
+    monkeypatch.setattr(inventory, "listing_problem", lambda *_: "IOException: gone")
+    with pytest.raises(OSError, match="no host can be read"):
+        search(spark, root, PROFILE, {"match_all": {}})
+
+
+def test_what_the_store_says_about_a_directory(spark, root):
+    from skeinlog.sources.inventory import listing_problem
+
+    assert listing_problem(spark, f"{root}/h1") is None and listing_problem(spark, f"{root}/h9") is None
+    assert "nosuchscheme" in listing_problem(spark, "nosuchscheme://x/y")
