@@ -35,6 +35,7 @@ and are kept, with a null component_id.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,6 @@ from skeinlog.llm.hashing import mix, shingle_set, spread
 
 WORDS, SIMILARITY = 5, 75  # words in a shingle; percent of the union
 COORDINATES, MATCHES = 32, 11
-PREFIX = COORDINATES - MATCHES + 1
 SHORT = 8  # members of a list whose pairs are all tested
 JOB_ITEMS = 1 << 20  # shingles of a job's block
 
@@ -180,32 +180,36 @@ def _jobs(members: DataFrame, job_items: int) -> DataFrame:
     return rows.withColumns({"job": job, "side": side}).drop("blocks", "block", "other")
 
 
-def _partners(matches: int, similarity: int):
-    """One job: for each member the partners that collide often enough, reach the threshold by their
-    bounds and have this list as their first in common."""
-    schema = pa.schema([("job", pa.int64()), ("node", pa.int64()), ("partners", pa.list_(pa.int64()))])
-
-    def solve(key, table):
-        table = table.take(pa.array(np.argsort(table["list"].to_numpy(), kind="stable")))
-        lists, node, n, shared, component, side = (
-            table[c].to_numpy() for c in ("list", "node", "n_shingles", "shared", "component", "side")
-        )
-        signed, own = _matrix(table["signature"]), _padded(table["own"])
-        found: dict[int, list] = {}
-        edges = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1], [True])))
-        for begin, end in zip(edges[:-1], edges[1:]):
-            here = lists[begin]
-            for a in range(begin, end - 1):
-                rest = np.arange(a + 1, end)
-                rest = rest[(component[rest] != component[a]) & ((side[rest] == 2) | (side[rest] != side[a]))]
-                rest = rest[reaches(similarity, n[a], shared[a], n[rest], shared[rest])]
-                rest = rest[(signed[rest] == signed[a]).sum(axis=1) >= matches]
-                # Lists that come before this one, if the partner has them too.
-                rest = rest[~np.isin(own[rest], own[a][own[a] < here]).any(axis=1)]
-                if len(rest):
-                    found.setdefault(int(node[a]), []).extend(node[rest].tolist())
-        columns = [[key[0].as_py()] * len(found), list(found), list(found.values())]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def _sorted(table: pa.Table) -> pa.Table:
+    return table.take(pa.array(np.argsort(table["list"].to_numpy(), kind="stable")))
+
+
+def _candidates(table: pa.Table, matches: int, similarity: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows behind it in its list) of the members of a job, by list, that collide often enough, reach
+    the threshold by their bounds and have no earlier list in common."""
+    lists, n, shared, component, side = (table[c].to_numpy() for c in ("list", "n_shingles", "shared", "component", "side"))
+    signed, own = _matrix(table["signature"]), _padded(table["own"])
+    edges = np.flatnonzero(np.concatenate(([True], lists[1:] != lists[:-1], [True])))
+    for begin, end in zip(edges[:-1], edges[1:]):
+        for a in range(begin, end - 1):
+            rest = np.arange(a + 1, end)
+            rest = rest[(component[rest] != component[a]) & ((side[rest] == 2) | (side[rest] != side[a]))]
+            rest = rest[reaches(similarity, n[a], shared[a], n[rest], shared[rest])]
+            rest = rest[(signed[rest] == signed[a]).sum(axis=1) >= matches]
+            rest = rest[~np.isin(own[rest], own[a][own[a] < lists[begin]]).any(axis=1)]
+            if len(rest):
+                yield a, rest
+
+
+def _hopefuls(matches: int, similarity: int):
+    """One job: its members that have a candidate."""
+
+    def solve(_, table):
+        table = _sorted(table)
+        keep = np.zeros(len(table), bool)
+        for a, rest in _candidates(table, matches, similarity):
+            keep[a] = keep[rest] = True
+        return table.filter(pa.array(keep))
 
     return solve
 
@@ -223,26 +227,29 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _links(similarity: int):
-    """One job: links (a, b) between similar partners, no more than connect them."""
+def _links(matches: int, similarity: int):
+    """One job, with the members' full sets: links (a, b) between similar ones, no more than connect them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def solve(_, partners: pa.Table, sets: pa.Table) -> pa.Table:
-        if not len(partners):
-            return schema.empty_table()
-        parts = _slices(sets["items"])
-        # Items by number, so that a table of marks counts an intersection.
+    def solve(_, table):
+        table = _sorted(table)
+        node = table["node"].to_numpy()
+        # Items by number, so that a table of marks counts an intersection; a node's set once.
+        _, first, which = np.unique(node, return_index=True, return_inverse=True)
+        whole = _slices(table["items"])
+        parts = [whole[i] for i in first]
         numbers, at = np.unique(np.concatenate(parts), return_inverse=True)
-        items = dict(zip(sets["member"].to_pylist(), np.split(at, np.cumsum([len(p) for p in parts])[:-1])))
-        mark, root, links = np.zeros(len(numbers), bool), {}, []
+        items = np.split(at, np.cumsum([len(p) for p in parts])[:-1])
+        mark, root, links = np.zeros(len(numbers), bool), list(range(len(first))), []
 
         def top(x: int) -> int:
-            while root.setdefault(x, x) != x:
+            while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
-        for a, others in zip(partners["node"].to_pylist(), partners["partners"].to_pylist()):
-            others = [b for b in others if top(b) != top(a)]
+        for row, rest in _candidates(table, matches, similarity):
+            a = which[row]
+            others = [b for b in which[rest].tolist() if top(b) != top(a)]
             if not others:
                 continue
             mark[items[a]] = True
@@ -252,7 +259,7 @@ def _links(similarity: int):
             similar = 100 * both >= similarity * (len(items[a]) + sizes - both)
             for b in np.array(others)[similar].tolist():
                 if top(a) != top(b):
-                    links.append((a, b))
+                    links.append((node[first[a]], node[first[b]]))
                     root[top(a)] = top(b)
         columns = list(zip(*links)) or [[], []]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
@@ -269,11 +276,9 @@ def _slices(column: pa.ChunkedArray) -> list[np.ndarray]:
 def job_links(members: DataFrame, sets: DataFrame, matches: int, similarity: int, folder: str, job_items: int = JOB_ITEMS) -> DataFrame:
     """Links (a, b) between the members of open lists, from jobs."""
     rows = _jobs(members, job_items)
-    partners = rows.groupBy("job").applyInArrow(_partners(matches, similarity), "job long, node long, partners array<long>")
-    partners = save(partners, folder, "partners")
-    needed = partners.select("job", "node").union(partners.select("job", F.explode("partners"))).distinct()
-    mine = needed.join(sets, "node").select(F.col("job").alias("of_job"), F.col("node").alias("member"), "items")
-    return partners.groupBy("job").cogroup(mine.groupBy("of_job")).applyInArrow(_links(similarity), "a long, b long")
+    kept = rows.groupBy("job").applyInArrow(_hopefuls(matches, similarity), rows.schema)
+    kept = save(kept, folder, "job-members")
+    return kept.join(sets, "node").groupBy("job").applyInArrow(_links(matches, similarity), "a long, b long")
 
 
 def near_duplicates(
@@ -306,27 +311,23 @@ def near_duplicates(
     sets = save(sets.dropDuplicates(["node"]), folder, "sets")
     nodes = save(hopeful(active.drop("doc_id", "digest"), sets, similarity), folder, "nodes")
     lists = lists.join(nodes.select("node", "n_shingles", "shared"), "node")
-    links, labels = _linked(save(lists, folder, "lists"), nodes, sets, matches, similarity, folder)
-
-    known = base.drop("signature").join(classes.drop("signature").withColumnsRenamed(
-        {"doc_id": "head_id", "digest": "head_digest", "row": "head_row"}), _SET, "left")
-    head = F.struct("head_id", "head_digest", "head_row")
-    known = known.withColumn("head", head).drop("head_id", "head_digest", "head_row")
-    if labels is not None:
-        # The node numbers are arbitrary; a component's head is its smallest document.
-        heads = classes.select("node", F.struct(F.col("doc_id").alias("head_id"), F.col("digest").alias("head_digest"), F.col("row").alias("head_row")).alias("head"))
-        firsts = labels.join(heads, "node").groupBy("component").agg(F.min("head").alias("first"))
-        known = known.join(labels.join(firsts, "component").select("node", "first"), "node", "left")
-        known = known.withColumn("head", F.coalesce("first", "head"))
+    labels = _linked(save(lists, folder, "lists"), nodes, sets, matches, similarity, folder)
+
+    heads = classes.select(*_SET, "node", F.struct("doc_id", "digest", "row").alias("head"))
+    # The node numbers are arbitrary; a component's head is its smallest document.
+    firsts = labels.join(heads, "node").groupBy("component").agg(F.min("head").alias("first"))
+    known = base.drop("signature").join(heads, _SET, "left")
+    known = known.join(labels.join(firsts, "component").select("node", "first"), "node", "left")
+    known = known.withColumn("head", F.coalesce("first", "head"))
     named = F.col("doc_id").isNotNull()
     return known.select(
-        "doc_id", "digest", "n_shingles", F.when(named, F.col("head.head_id")).alias("component_id"),
-        F.when(named, F.col("row") == F.col("head.head_row")).otherwise(F.lit(True)).alias("kept"),
+        "doc_id", "digest", "n_shingles", F.when(named, F.col("head.doc_id")).alias("component_id"),
+        F.when(named, F.col("row") == F.col("head.row")).otherwise(F.lit(True)).alias("kept"),
     )
 
 
-def _linked(lists: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, similarity: int, folder: str):
-    """(links, labels) of all similar nodes of the lists (list, node, weight, n_shingles, shared)."""
+def _linked(lists: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, similarity: int, folder: str) -> DataFrame:
+    """(node, component) of the linked nodes of the lists (list, node, weight, n_shingles, shared)."""
     sized = lists.groupBy("list").agg(F.count("*").alias("size"))
     lists = save(lists.drop("length").join(sized.where("size > 1"), "list"), folder, "sized")
     other = lists.where(F.col("size") <= SHORT).select(
@@ -353,5 +354,4 @@ def _linked(lists: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, s
     members = open_.select("list", "node", "component").join(own, "node").join(nodes, "node")
     members = save(members, folder, "members")
     more = save(job_links(members, sets, matches, similarity, folder), folder, "job-links")
-    links = links.unionByName(more)
-    return links, components(links, folder, "labels-1")
+    return components(links.unionByName(more), folder, "labels-1")

@@ -29,7 +29,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
