@@ -138,7 +138,7 @@ def op8_unigram_viterbi(spark, sf_dir):
     """The round trip of every text: its pieces and what they decode to."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = unigram.Unigram(*unigram.read_model())
-    found = unigram.decode(unigram.encode(docs, model), model)
+    found = unigram.round_trip(docs, model)
     own = F.coalesce("text", F.lit(""))
     return found.select(
         "doc_id",

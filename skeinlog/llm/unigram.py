@@ -11,7 +11,7 @@ text itself is encoded in bytes and so stays what it was. Where no piece has a m
 character, no piece crosses from one word to the next, and the best path of a text is that of its
 words. The words of a block that a task does not know yet go through the trie together, one array
 step for each place and depth; longer words than ``LANE_BYTES`` go alone, byte by byte. A task remembers
-words until it holds ``REMEMBERED`` of them or of their pieces, and then begins anew.
+words until it holds ``REMEMBERED`` of them, and then begins anew.
 
 A model made by merges has ranks for scores; the log score of rank r is then -ln((r + 1) * sum(1/i)),
 as in Zipf's law. Models with log scores are used as they are.
@@ -34,9 +34,9 @@ from pyspark.sql import types as T
 from skeinlog.llm.common import arrow_step
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNKNOWN, REMEMBERED = 10.0, 1_000_000
+UNKNOWN, REMEMBERED = 10.0, 250_000
 LANE_BYTES = 64  # bytes of the longest word that advances with others
-_LANES, _WORDS_AT_ONCE, _PART_BYTES = 8192, 1 << 18, 1 << 20
+_LANES, _WORDS_AT_ONCE, _PART_BYTES = 4096, 1 << 16, 1 << 20
 MARKER = "▁"  # fixed value: the white-space marker
 _SPACE = b"\xff"
 _WORDS = re.compile(rb"\xff+[^\xff]*")
@@ -248,7 +248,7 @@ class Encoder:
 
     def block(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, pieces of each word)."""
-        if max(len(self.ids[0]), len(self.known)) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
         which = list(map(self.known.get, words))
         if None in which:
@@ -365,6 +365,23 @@ def decode(encoded: DataFrame, model: Unigram, column: str = "ids") -> DataFrame
     return arrow_step(encoded, step, schema)
 
 
+def round_trip(docs: DataFrame, model: Unigram) -> DataFrame:
+    """docs with ids and decoded, in one step: a task holds the model once."""
+    docs = docs.drop("ids", "decoded")
+    names = docs.columns
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def step(batches):
+        own = _restored(shared.value)
+        encoder, decoder = Encoder(own), Decoder(own)
+        for batch in batches:
+            ids = encoder.encode(batch.column(names.index("text")).to_pylist())
+            yield {**{n: batch.column(i) for i, n in enumerate(names)}, "ids": ids, "decoded": decoder.decode(ids)}
+
+    return arrow_step(docs, step, T.StructType(docs.schema.fields + added))
+
+
 def _restored(parts: dict) -> Unigram:
     model = Unigram.__new__(Unigram)
     model.__dict__.update(parts)

@@ -42,5 +42,9 @@ def test_a_long_word_and_no_words(spark, model):
     schema = "doc_id long, text string, ids string, decoded int"
     found = unigram.decode(unigram.encode(spark.createDataFrame(rows, schema), model), model)
     assert {r.doc_id: r.decoded for r in found.collect()} == {i: t for i, t, _, _ in rows}
+    both = unigram.round_trip(spark.createDataFrame(rows, schema), model).collect()
+    assert {r.doc_id: r.decoded for r in both} == {i: t for i, t, _, _ in rows}
+    assert sorted((r.doc_id, r.ids) for r in both) == sorted((r.doc_id, r.ids) for r in found.select("doc_id", "ids").collect())
     none = spark.createDataFrame([], schema)
+    assert unigram.round_trip(none, model).count() == 0
     assert unigram.decode(unigram.encode(none, model), model).count() == 0
