@@ -70,15 +70,24 @@ def arrow_step(
 ROW = "_whole_row"
 
 
-def packed(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns an operator reads, beside the whole row in one column, so that no other column of
-    the row can clash with what the operator adds."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *columns)
+def packed(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """The columns an operator reads, beside the rest of the row in one column, so that no other column of
+    the row can clash with what the operator adds. Columns given by name are not kept twice."""
+    given = {c for c in columns if isinstance(c, str)}
+    rest = [c for c in df.columns if c not in given]
+    return df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"_{c}") for c in rest]).alias(ROW), *columns)
 
 
 def unpacked(df: DataFrame, names: list[str], **new: Column) -> DataFrame:
     """The rows as they were, with the ``new`` columns in place of the old ones."""
-    return df.select(*[new[c].alias(c) if c in new else F.col(f"{ROW}.`{c}`").alias(c) for c in names])
+    rest = df.schema[ROW].dataType.names
+
+    def column(name: str) -> Column:
+        if name in new:
+            return new[name]
+        return F.col(f"{ROW}.`_{name}`") if f"_{name}" in rest else F.col(f"`{name}`")
+
+    return df.select(*[column(c).alias(c) for c in names])
 
 
 def part_count(spark: SparkSession) -> int:

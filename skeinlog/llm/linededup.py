@@ -37,7 +37,7 @@ def lines_of(text: Column) -> Column:
 
 
 def line_keys(lines: Column, min_chars: int = MIN_CHARS) -> Column:
-    """A 128-bit hash of each line's key as hex text; null for a key that is too short."""
+    """A 128-bit hash of each line's key; null for a key that is too short."""
     bare = F.transform(lines, lambda line: F.btrim(line, F.lit(SPACES)))
     # lower() changes A-Z only in pure ASCII, and is much faster there than translate().
     lowered = F.transform(
@@ -46,7 +46,7 @@ def line_keys(lines: Column, min_chars: int = MIN_CHARS) -> Column:
         .when(F.octet_length(line) == F.char_length(line), F.lower(line))
         .otherwise(F.translate(line, UPPER, LOWER)),
     )
-    return F.transform(lowered, lambda key: F.md5(key.cast("binary")))
+    return F.transform(lowered, lambda key: F.unhex(F.md5(key.cast("binary"))))
 
 
 class LineRuns:
