@@ -52,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces, and whether they decode to its text."""
     model = unigram.Unigram(*unigram.read_model())
-    found = unigram.decode(unigram.encode(docs, model), model)
+    found = unigram.round_trip(docs.select("doc_id", "text", "lang", "source", "n_chars"), model)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return found.select(
         "doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip")
