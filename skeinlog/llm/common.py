@@ -121,12 +121,11 @@ class BitFilter:
         table[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
         self.shared = rows.sparkSession.sparkContext.broadcast(table)
 
-    def may_hold(self, value: Column) -> Column:
-        shared, mask = self.shared, np.int64(self.bits - 1)
-
-        def look(values: pa.Array) -> pa.Array:
-            at = values.fill_null(0).to_numpy(zero_copy_only=False) & mask
-            hit = (shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            return pa.array(hit.astype(bool) & values.is_valid().to_numpy(zero_copy_only=False))
+    def holds(self, values: pa.Array) -> pa.Array:
+        """Inside a task: which of the values may be in the set."""
+        at = values.fill_null(0).to_numpy(zero_copy_only=False) & np.int64(self.bits - 1)
+        hit = (self.shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        return pa.array(hit.astype(bool) & values.is_valid().to_numpy(zero_copy_only=False))
 
-        return F.arrow_udf(look, "boolean")(value)
+    def may_hold(self, value: Column) -> Column:
+        return F.arrow_udf(self.holds, "boolean")(value)

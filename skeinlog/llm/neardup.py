@@ -93,16 +93,17 @@ def signatures(docs: DataFrame, words: int = WORDS, coordinates: int = COORDINAT
     return arrow_step(rows, step, _SIGNED)
 
 
-def shingles(docs: DataFrame, words: int, keys: list[str]) -> DataFrame:
-    """The keys and items: the full shingle set of each document."""
+def shingles(docs: DataFrame, words: int, keys: list[str], key: Column, filter_: BitFilter) -> DataFrame:
+    """The keys and items: the full shingle set of each document whose ``key`` the filter may hold."""
     schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("items", T.ArrayType(T.LongType()))])
 
     def step(batches):
         for batch in batches:
+            batch = batch.filter(filter_.holds(batch.column("_key")))
             sets = [shingle_set(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
             yield {**{k: batch.column(k) for k in keys}, "items": sets}
 
-    return arrow_step(docs.select(*keys, "text"), step, schema)
+    return arrow_step(docs.select(*keys, "text", key.alias("_key")), step, schema)
 
 
 def postings(nodes: DataFrame, coordinates: int, prefix: int) -> DataFrame:
@@ -306,7 +307,7 @@ def near_duplicates(
     key = F.xxhash64("doc_id", "digest")
     filter_ = BitFilter(active, key)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), "text")
-    few = shingles(own.where(filter_.may_hold(key)), words, ["doc_id", "digest"])
+    few = shingles(own, words, ["doc_id", "digest"], key, filter_)
     sets = few.join(active.select("doc_id", "digest", "node"), ["doc_id", "digest"]).select("node", "items")
     sets = save(sets.dropDuplicates(["node"]), folder, "sets")
     nodes = save(hopeful(active.drop("doc_id", "digest"), sets, similarity), folder, "nodes")
