@@ -27,10 +27,12 @@ from skeinlog.plans.profile import Framing
 from skeinlog.streaming.follow import store_of
 
 RANGE_BYTES = 64 << 20
+TASK_BYTES = 16 << 20
 MAX_TASKS = 100_000
 _RECORDS = "host string, path string, blk bigint, mid bigint, value string"
 _BATCH_CHARS = 4 << 20
 _BLOCK = 4 << 20
+_BEYOND = 16 << 10  # read with a small range, as its last record may be closed there
 
 
 @dataclass(frozen=True)
@@ -199,6 +201,9 @@ def range_records(
     rule = LineRule.of(framing)
     keep = window.may_hold if window is not None else None
 
+    block = min(_BLOCK, range_bytes + _BEYOND)
+    run_bytes = range_bytes * max(1, TASK_BYTES // range_bytes)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
@@ -208,16 +213,18 @@ def range_records(
                 except FileNotFoundError:
                     continue  # rotated away since it was listed
                 with file:
-                    found = read_range(file, row["start"], row["end"], rule, keep)
-                    yield from record_batches(found, row["host"], row["path"], row["start"])
-
-    ends = F.least(F.col("start") + F.lit(range_bytes), F.col("length"))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
-    ranges = files.where("length > 0").select("host", "path", "uri", "length", starts.alias("start"))
-    ranges = ranges.select("host", "path", "uri", "start", ends.alias("end"))
-    # As many tasks as ranges: their rows are tiny, so Spark would put all of them into one.
-    count = files.agg(F.sum(F.ceil(F.col("length") / F.lit(range_bytes)))).first()[0] or 0
-    return ranges.repartition(max(1, min(int(count), MAX_TASKS))).mapInArrow(read, _RECORDS)
+                    for start in range(row["start"], row["end"], range_bytes):
+                        found = read_range(file, start, min(start + range_bytes, row["end"]), rule, keep, block)
+                        yield from record_batches(found, row["host"], row["path"], start)
+
+    # A task has a run of neighbouring ranges, one if they are large: small ones don't pay for a task each.
+    ends = F.least(F.col("start") + F.lit(run_bytes), F.col("length"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(run_bytes).cast("long")))
+    runs = files.where("length > 0").select("host", "path", "uri", "length", starts.alias("start"))
+    runs = runs.select("host", "path", "uri", "start", ends.alias("end"))
+    # As many tasks as runs: their rows are tiny, so Spark would put all of them into one.
+    count = files.agg(F.sum(F.ceil(F.col("length") / F.lit(run_bytes)))).first()[0] or 0
+    return runs.repartition(max(1, min(int(count), MAX_TASKS))).mapInArrow(read, _RECORDS)
 
 
 def record_batches(records: Iterator[tuple[int, str]], host: str, path: str, blk: int) -> Iterator[pa.RecordBatch]:

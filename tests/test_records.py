@@ -1,13 +1,15 @@
 import io
 import random
 
+import pyarrow as pa
+
 import pytest
 
 from skeinlog.operators.prefilter import Window
 from skeinlog.plans.profile import Framing, profile_from_dict
 from skeinlog.plans.search import read_events, search
 from skeinlog.sources.inventory import input_files
-from skeinlog.sources.records import LineRule, cuttable, range_records, read_range
+from skeinlog.sources.records import RANGE_BYTES, LineRule, cuttable, range_records, read_range
 from tests.test_framing import joined
 from tests.test_search import FIVE, NOW
 
@@ -140,3 +142,29 @@ def test_search_in_a_window_joins_only_what_may_match(spark, logs):
     assert runs[0] == runs[1] and len(runs[0]) == 6 * 14
     plan = search(spark, root, profile, window, collected=NOW).events._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan binaryFile") == 1
+
+
+def test_small_ranges_share_a_task_and_read_little_beyond(spark, tmp_path, monkeypatch):
+    from skeinlog.sources import records
+
+    data = "".join(f"2026 {i}\n  more\n" for i in range(2000)).encode()
+    (tmp_path / "a.log").write_bytes(data)
+    files = spark.createDataFrame([("h1", "/a.log", len(data), f"file://{tmp_path}/a.log")], "host string, path string, length long, uri string")
+    found = range_records(files, RULES[0], range_bytes=100)
+    assert found.rdd.getNumPartitions() == 1
+    rows = found.orderBy("mid").collect()
+    assert [r.value for r in rows] == [f"2026 {i}\n  more" for i in range(2000)]
+    assert all(r.blk == r.mid // 100 * 100 for r in rows)
+
+    blocks = []
+    monkeypatch.setattr(records, "read_range", lambda file, start, end, rule, keep, block: blocks.append(block) or ())
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, read, schema: read, raising=False)
+    read = range_records(files, RULES[0], range_bytes=20_000)
+    one = {"host": "h1", "path": "/a.log", "uri": f"file://{tmp_path}/a.log", "start": 0, "end": len(data)}
+    list(read(iter([pa.RecordBatch.from_pylist([one])])))
+    assert len(blocks) == -(-len(data) // 20_000) and max(blocks) < 50_000
+
+
+def test_a_large_range_is_a_task_of_its_own(spark):
+    files = spark.createDataFrame([("h1", "/a.log", 5 * RANGE_BYTES + 1, "file:///none")], "host string, path string, length long, uri string")
+    assert range_records(files, RULES[0]).rdd.getNumPartitions() == 6
