@@ -16,11 +16,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+# A task's share of a table: rows that become lines and events of many times their size, or bytes of long texts.
+TASK_ROWS = 1 << 16
+TASK_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Parsing costs far more than reading. A table that comes in fewer splits than there are
-    cores, such as one small file with one row group, is spread; a large one stays as it is."""
+    """Parsing costs far more than reading, and an event takes many times the room of its row. A table
+    that comes in fewer splits than there are cores, or than its rows and bytes ask for, is spread, so
+    that a task has no more of a larger table than of a small one."""
+    files = df.groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n"))
+    n, size = files.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("file_size"), F.lit(0))).first()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(cores, -(-n // TASK_ROWS), -(-size // TASK_BYTES))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 
 def utc_text(ts: Column) -> Column:
