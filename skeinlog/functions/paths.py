@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinlog.functions.variants import as_array, as_object, json_path, opened, quotable
+from skeinlog.functions.variants import as_array, as_object, json_path, once, opened, quotable
 
 # Names of so few segments are read by paths, which a stored table can prune by; the number of paths
 # doubles with each segment, so longer names are walked instead. Both find the same value.
@@ -94,8 +94,7 @@ _PLACES = "array<struct<behind:int,v:variant>>"
 
 def elements(value: Column) -> Column:
     """A list's elements, lists among them opened, and any other value by itself."""
-    items = as_array(value)
-    return F.when(items.isNull(), F.array(value)).otherwise(opened(items))
+    return once(as_array(value), lambda items: F.when(items.isNull(), F.array(value)).otherwise(opened(items)))
 
 
 def list_on_the_way(value: Column, segments: list[str], reserved: tuple[str, ...] = ()) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,26 +62,31 @@ def brackets(value: Column) -> Column:
 _SHALLOW = 3
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value, an array<variant>, where the value is computed a single time, however often it
+    is used: as the variable of a loop over a one-element array."""
+    return F.aggregate(F.array(value), F.array().cast("array<variant>"), lambda _, v: use(v))
+
+
 def opened(items: Column) -> Column:
     """The elements of a list; lists among them are opened up until none is left."""
 
-    def state(flat: Column) -> Column:
-        more = F.exists(flat, lambda x: as_array(x).isNotNull())
-        return F.struct(flat.cast("array<variant>").alias("flat"), more.alias("more"))
+    def more(flat: Column) -> Column:
+        return F.exists(flat, lambda x: as_array(x).isNotNull())
 
-    def once(acc: Column, _: Column) -> Column:
-        flat = F.flatten(F.transform(acc["flat"], lambda x: F.coalesce(as_array(x), F.array(x))))
-        return F.when(acc["more"], state(flat)).otherwise(acc)
+    # The state of the loops is the list alone: what a struct holds would be copied in each step.
+    def step(flat: Column, _: Column) -> Column:
+        inside = F.flatten(F.transform(flat, lambda x: F.coalesce(as_array(x), F.array(x))))
+        return F.when(more(flat), inside.cast("array<variant>")).otherwise(flat)
 
-    few = F.aggregate(F.array(*[F.lit(i) for i in range(_SHALLOW)]), state(items), once)
+    few = F.aggregate(F.array(*[F.lit(i) for i in range(_SHALLOW)]), items.cast("array<variant>"), step)
 
-    def rest(acc: Column) -> Column:
+    def rest(flat: Column) -> Column:
         # Only here the text of what is left is looked at: it bounds the number of steps.
-        depth = F.aggregate(acc["flat"], F.lit(0), lambda n, x: n + F.coalesce(brackets(x), F.lit(0)))
-        return F.aggregate(F.sequence(F.lit(1), depth), acc, once, lambda deep: deep["flat"])
+        depth = F.aggregate(flat, F.lit(0), lambda n, x: n + F.coalesce(brackets(x), F.lit(0)))
+        return F.aggregate(F.sequence(F.lit(1), depth), flat, step)
 
-    # A one-element array, so that the first steps are made once.
-    return F.flatten(F.transform(F.array(few), lambda acc: F.when(acc["more"], rest(acc)).otherwise(acc["flat"])))
+    return once(few, lambda flat: F.when(more(flat), rest(flat)).otherwise(flat))
 
 
 def is_string(value: Column) -> Column:
