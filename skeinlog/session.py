@@ -26,6 +26,10 @@ SCALE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Kept where a cluster has its own: how much of a shuffle Spark puts into one task. Events lie packed
+# in a shuffle; a task that sorts or compares them takes some thirty times as much.
+TASK_CONF = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m"}
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that already exists. The Python steps of this
@@ -33,6 +37,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     cloudpickle.register_pickle_by_value(skeinlog)
     for key, value in {**RESULT_CONF, **SCALE_CONF}.items():
         spark.conf.set(key, value)
+    for key, value in TASK_CONF.items():
+        spark.conf.set(key, spark.conf.get(key, value))
     return spark
 
 

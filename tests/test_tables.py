@@ -1,7 +1,8 @@
-"""How much of a table a task gets."""
+"""How much of a table a task gets, and what a shuffle puts into one."""
 
 from pyspark.sql import functions as F
 
+from skeinlog.session import prepare
 from skeinlog.sources import tables
 
 
@@ -26,3 +27,12 @@ def test_long_texts_are_spread_by_their_bytes(spark, tmp_path, monkeypatch):
 def test_an_empty_table(spark, tmp_path):
     spark.range(0).write.parquet(f"{tmp_path}/t.parquet")
     assert tables.read(spark, str(tmp_path), "t").collect() == []
+
+
+def test_a_cluster_keeps_its_own_size_of_a_task(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.unset(key)
+    assert prepare(spark).conf.get(key) == "16m"
+    spark.conf.set(key, "8m")
+    assert prepare(spark).conf.get(key) == "8m"
+    spark.conf.unset(key)
